@@ -22,7 +22,7 @@ from tessera.llm.common import SPACE_CHARS, WORD_GAP, written
 #: Weights in turn, share of all words that is mixed, most times that a source is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Words of a block (fewer where the smallest target has under 32 such blocks), words and documents of a shard at most.
-BLOCK_WORDS, SHARD_WORDS = 64, 4_000_000
+BLOCK_WORDS, SHARD_WORDS = 64, 250_000
 SEED = "mix-1"
 
 
