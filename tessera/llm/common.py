@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,3 +53,36 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
 def utf8(text: str = "text") -> Column:
     """A text column as bytes; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
+def slices(texts: list[str], most: int) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters, so that a task's arrays stay small; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(start, len(texts))
+
+
+def exact(name: str) -> Column:
+    """A long id column as a decimal, which pandas keeps exact where nulls would turn longs into doubles."""
+    return F.col(name).cast("decimal(20,0)").alias(name)
+
+
+def held_out() -> Column:
+    """Rows whose crc32(doc_id as text) mod 4 is 2; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def training_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, longest: int) -> list[tuple[str, int]]:
+    """At most ``most`` labelled texts of either class outside the held-out fold, chosen by a hash of the id.
+
+    Texts of over ``longest`` characters do not take part.  Of labels that a document has twice the larger holds.
+    """
+    known = labels.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+    chosen = [known.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    rows = documents.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 * most ids
+    return sorted((r["text"], r["_label"]) for r in rows.select("text", "_label").limit(4 * most).collect())

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality, warc
+from tessera.llm import decontamination, masked_lm, minhash, mixing, quality, quality_cnn, token_records, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
@@ -23,13 +32,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op7_warc": op7_warc}
+    return {
+        "op2_minhash": op2_minhash,
+        "op3_token_records": op3_token_records,
+        "op4_mixing": op4_mixing,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
+        "op7_warc": op7_warc,
+        "op8_decontamination": op8_decontamination,
+        "op9_masked_lm": op9_masked_lm,
+        "op10_quality_cnn": op10_quality_cnn,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SHARES_SQL}
+    return {"op2_minhash": minhash.NEAR_SQL, "op4_mixing": mixing.SHARES_SQL}

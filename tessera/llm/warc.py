@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filesystem, salted_left_join, shared_dir, utf8
+from tessera.llm.common import exact, filesystem, salted_left_join, shared_dir, utf8
 
 #: Profile of a revisit that repeats a payload (WARC 1.1); a fixed value.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,8 +94,8 @@ def write_archives(records: DataFrame, folder: str, target_bytes: int = 256 << 2
             out.close()
             yield pd.DataFrame({"path": [path], "n_records": [n], "n_bytes": [size]})
 
-    exact = records.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("record_id", "refers_to")})  # pandas would make doubles of nullable longs
-    exact.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = records.withColumns({c: exact(c) for c in ("record_id", "refers_to")})
+    rows.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return records.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
