@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +90,24 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, most: i
     chosen = [known.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     rows = documents.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # at most 2 * most ids
     return sorted((r["text"], r["_label"]) for r in rows.select("text", "_label").limit(4 * most).collect())
+
+
+def text_slices(batch: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in slices of about ``most`` bytes of text, so that few texts are Python objects at a time."""
+    size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a Python worker: Spark gives a worker many tasks."""
+    kept = vars(sys.modules.setdefault("tessera_kept", types.ModuleType("tessera_kept")))
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -11,7 +11,7 @@ their text, equal rows follow each other; an empty table gives no files and an e
 
 from __future__ import annotations
 
-import array
+import re
 import struct
 import uuid
 import zlib
@@ -20,17 +20,18 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import exact, filesystem, shared_dir, slices
+from tessera.llm.common import filesystem, per_worker, shared_dir, text_slices
 
 MANIFEST = "part long, path string, n_docs long, n_ids long"
 SEQUENCES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Added to a rotated CRC so that checksums stored within checksummed data stay apart; a fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
 #: Words that a task keeps encoded at most, before it begins anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -56,40 +57,59 @@ def read_frames(stream) -> Iterator[bytes]:
 
 
 class WordEncoder:
-    """Encodes whole texts by way of their white-space separated pieces, each of which the tokenizer sees once.
+    """Encodes whole texts by way of their pieces, each of which the tokenizer sees once.
 
     The tokenizer normalises and splits without regard to what lies beyond white space, and drops it, so a text's
-    ids are its pieces' ids in a row.
+    ids are its white-space separated pieces' ids in a row.  Where a text has only characters of ``PLAIN``, which
+    normalisation just lowers, its pieces are the tokenizer's own, cut by the tokenizer's pattern.
     """
 
+    PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = array.array("q"), array.array("q"), array.array("I")
+        self.place: dict[str, int] = {}
+        self.starts, self.lengths, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.n = self.n_ids = 0
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return self.PIECE.findall(text.lower())
+        return [p.decode() for p in text.encode().split()]
+
+    def _learn(self, new: list[str]) -> None:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(counts.sum()))
+        while len(self.starts) < self.n + len(new):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while len(self.ids) < self.n_ids + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.starts[self.n : self.n + len(new)] = self.n_ids + np.cumsum(counts) - counts
+        self.lengths[self.n : self.n + len(new)] = counts
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+        self.n, self.n_ids = self.n + len(new), self.n_ids + len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        if len(self.place) > KEPT_WORDS:
+        if self.n > KEPT_WORDS:
             self.clear()
-        pieces = [t.encode().split() for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         flat = [p for ps in pieces for p in ps]
         if new := list(set(flat).difference(self.place)):
-            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            for piece, e in zip(new, encoded, strict=True):
-                self.place[piece] = len(self.starts)
-                self.starts.append(len(self.ids))
-                self.lengths.append(len(e.ids))
-                self.ids.extend(e.ids)
+            self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        starts, lengths, ids = (np.array(x) for x in (self.starts, self.lengths, self.ids))
-        n = lengths[at] if len(at) else np.zeros(0, np.int64)
+        n = self.lengths[at]
         ends = np.cumsum(n)
-        out = ids[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))] if len(at) else np.zeros(0, np.uint32)
+        out = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
         before = np.concatenate([[0], ends])
         edges = np.cumsum([0, *map(len, pieces)])
         return out, before[edges[1:]] - before[edges[:-1]]
@@ -103,36 +123,36 @@ def write_records(documents: DataFrame, folder: str, tokenizer_path: str, end_id
     """
     tokenizer_json = Path(tokenizer_path).read_text(encoding="utf-8")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, out = WordEncoder(tokenizer_json), None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = per_worker(f"words {hash(tokenizer_json)}", lambda: WordEncoder(tokenizer_json))
+        out = None
         width = "<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         files, root = filesystem(folder)
         files.create_dir(f"{root}/records", recursive=True)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in slices(texts, 2_000_000):
-                ids, counts = encoder.encode(texts[part])
+            for part in text_slices(batch, 1_000_000):
+                ids, counts = encoder.encode(part.column("text").to_pylist())
                 ids = ids.astype(width)
                 frames, index, at = [], [], 0
                 if out is None:
-                    number, path, offset, n_docs, n_ids = int(batch["part"].iloc[0]), f"{root}/records/{uuid.uuid4().hex}", 0, 0, 0
+                    number, path, offset, n_docs, n_ids = part.column("part")[0].as_py(), f"{root}/records/{uuid.uuid4().hex}", 0, 0, 0
                     out, idx = files.open_output_stream(f"{path}.rec"), files.open_output_stream(f"{path}.idx")
-                for doc_id, n in zip(batch["doc_id"].iloc[part], counts, strict=True):
-                    key = struct.pack("<bq", 1, 0) if pd.isna(doc_id) else struct.pack("<bq", 0, int(doc_id))
+                for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    key = struct.pack("<bq", 1, 0) if doc_id is None else struct.pack("<bq", 0, doc_id)
                     payload = key + ids[at : at + n].tobytes() + np.array([end_id], width).tobytes()
                     frames.append(frame(payload))
                     index.append(struct.pack("<QQQ", offset, len(payload), n + 1))
-                    offset, at, n_docs, n_ids = offset + len(payload) + 16, at + n, n_docs + 1, n_ids + int(n) + 1
+                    offset, at, n_docs, n_ids = offset + len(payload) + 16, at + n, n_docs + 1, n_ids + n + 1
                 out.write(b"".join(frames))
                 idx.write(b"".join(index))
         if out is not None:
             out.close()
             idx.close()
-            yield pd.DataFrame({"part": [number], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [number], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    rows = documents.select(exact("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    ordered.withColumn("part", F.spark_partition_id()).mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return documents.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
