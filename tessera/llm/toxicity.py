@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input is an embedding of the word and the mean of embeddings of its character n-grams.  The network
+A word's input is an embedding of the word and the maximum over embeddings of its character n-grams.  The network
 reads overlapping windows of ``WINDOW`` words, ``STRIDE`` apart, that cover the whole text; attention pools a
 window's states into one logit, and a document's score is that of its highest window.  Training fits the highest
 window of each labelled document.  The embeddings' first entry starts at the smoothed log-odds of the word or
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import exact, held_out, slices, training_sample
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 24, 8, 8, 8
-WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 13, 1 << 15, (3, 4, 6, 8)
+WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 17, (3, 4, 6, 7, 8)
 #: Labelled documents of either class in the fit at most, their longest text, passes over them.
 MOST, LONGEST, EPOCHS, BATCH, RATE = 2000, 60_000, 12, 64, 0.01
-THRESHOLD = 0.3
+THRESHOLD, SEEN = 0.3, 5
 #: Words that a task keeps prepared at most, before it begins anew.
 KEPT_WORDS = 150_000
 
@@ -55,10 +55,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rolled = rolled * np.uint64(0x100000001B3) + data[at + k] + np.uint64(1)
             if k + 1 in GRAMS:
                 fits = (at + k + 1 <= end) | ((at == np.repeat(begin, size)) & (k + 1 == GRAMS[0]))
-                found.append(((rolled * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) >> np.uint64(49))[fits].astype(np.int64))
+                found.append(((rolled * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) >> np.uint64(47))[fits].astype(np.int64))
                 owners.append(owner[fits])
         np.add.at(whole, owner, (data[: len(at)] + np.uint64(7)) * (np.uint64(0xD6E8FEB86659FD93) ** (at - np.repeat(begin, size)).astype(np.uint64)))
-        whole = (whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)
+        whole = (whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
     order = np.argsort(np.concatenate(owners), kind="stable")
     rows, owners = np.concatenate(found)[order] % GRAM_ROWS, np.concatenate(owners)[order]
     return whole.astype(np.int64) % WORD_ROWS, rows, np.searchsorted(owners, np.arange(len(words)))
@@ -159,8 +159,7 @@ class Reader:
             self.clear()
         if new := list(set().union(*texts).difference(self.place)):
             own, rows, begin = grams(new)
-            sums = np.add.reduceat(self.p["grams"][rows], begin, axis=0)
-            x = np.concatenate([self.p["words"][own], sums / np.diff([*begin, len(rows)])[:, None]], axis=1).astype(np.float32)
+            x = np.concatenate([self.p["words"][own], np.maximum.reduceat(self.p["grams"][rows], begin, axis=0)], axis=1)
             for d in "fb":
                 while len(self.tables[d]) < self.n + len(new):
                     self.tables[d] = np.concatenate([self.tables[d], np.zeros_like(self.tables[d])])
@@ -198,7 +197,7 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _log_odds(docs: list[list[bytes]], labels: np.ndarray, p: dict) -> None:
-    """The first entry of each embedding: smoothed log-odds, shrunk towards 0 where few documents have it."""
+    """The first entry of each embedding: smoothed log-odds, 0 where under ``SEEN`` documents have it."""
     vocabulary = sorted(set().union(*docs))
     own, rows, begin = grams(vocabulary)
     ends = [*begin[1:], len(rows)]
@@ -212,7 +211,8 @@ def _log_odds(docs: list[list[bytes]], labels: np.ndarray, p: dict) -> None:
     for name in ("words", "grams"):
         for row in seen[0][name].keys() | seen[1][name].keys():
             a, b = seen[1][name][row], seen[0][name][row]
-            p[name][row, 0] = np.clip(np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1)), -3, 3) * (a + b) / (a + b + 4)
+            odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+            p[name][row, 0] = np.clip(odds, -3, 3) * (a + b >= SEEN)
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
@@ -234,7 +234,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
     ids = [np.fromiter((place[w] + 1 for w in d), np.int64, len(d)) for d in docs]
     every, owner, starts = windows(ids)
     first = np.searchsorted(owner, np.arange(len(docs)))
-    evidence = np.concatenate([[0], p["words"][own, 0] + np.add.reduceat(p["grams"][rows, 0], begin) / count])
+    evidence = np.concatenate([[0], p["words"][own, 0] + np.maximum.reduceat(p["grams"][rows, 0], begin)])
     value = evidence[every].max(axis=1)
     top = np.array([f + int(np.argmax(value[f:g])) for f, g in zip(first, [*first[1:], len(value)], strict=True)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -251,10 +251,10 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
             used, local = np.unique(part[part > 0] - 1, return_inverse=True)
             sel = np.isin(gram_owner, used)
             g_rows, g_owner = rows[sel], np.searchsorted(used, gram_owner[sel])
-            mean = np.zeros((len(used), DIM), np.float32)
-            np.add.at(mean, g_owner, p["grams"][g_rows] / count[used][g_owner][:, None])
+            each = p["grams"][g_rows]
+            most = np.maximum.reduceat(each, np.searchsorted(g_owner, np.arange(len(used))), axis=0)
             x = np.zeros((*part.shape, 2 * DIM), np.float32)
-            x[part > 0] = np.concatenate([p["words"][own[used]], mean], axis=1)[local]
+            x[part > 0] = np.concatenate([p["words"][own[used]], most], axis=1)[local]
             keep: dict = {}
             out = logits(p, x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"], mask, keep)
             g = gradients(p, keep, ((sigmoid(out) - labels[pick]) / len(pick)).astype(np.float32))
@@ -267,7 +267,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
             np.add.at(of_word, local, dx[part > 0])
             g |= {"words": np.zeros_like(p["words"]), "grams": np.zeros_like(p["grams"])}
             np.add.at(g["words"], own[used], of_word[:, :DIM])
-            np.add.at(g["grams"], g_rows, (of_word[:, DIM:] / count[used][:, None])[g_owner])
+            np.add.at(g["grams"], g_rows, of_word[g_owner, DIM:] * (each == most[g_owner]))
             step += 1
             for name, grad in g.items():
                 m, v = moments[name]
@@ -279,7 +279,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
 
 def scored(documents: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    model = documents.sparkSession.sparkContext.broadcast(p)  # about 1.5 MB, fixed by the sizes above
+    model = documents.sparkSession.sparkContext.broadcast(p)  # about 5 MB, fixed by the sizes above
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.value)
