@@ -2,10 +2,521 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import blocks, codecs
+from tessera.functions.binning import Axis
+from tessera.operators import build, catalog, columns, graph, histogram, nested
+from tessera.streaming import histograms
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def cents(c: str) -> F.Column:
+    """Money as whole cents: sums of whole numbers do not depend on their order."""
+    return F.round(F.col(c) * 100)
+
+
+def bin_sql(x: str, n: int, lo: float, hi: float) -> str:
+    return f"(CASE WHEN {x} < {lo} THEN 0 WHEN {x} >= {hi} THEN {n + 1} ELSE 1 + floor({n} * ({x} - {lo}) / ({hi} - {lo})) END)::INT"
+
+
+def cuts_sql(x: str, cuts: list[float]) -> str:
+    inner = " ".join(f"WHEN {x} >= {c} THEN {i}" for i, c in reversed(list(enumerate(cuts, 1)))[1:])
+    return f"(CASE WHEN {x} < {cuts[0]} THEN 0 WHEN {x} >= {cuts[-1]} THEN {len(cuts)} {inner} END)::INT"
+
+
+# Columns and shapes
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem")
+def column_scalar(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+
+
+@query("SELECT n_nationkey AS entry, n_name AS value, strlen(n_name)::INT AS n_bytes FROM nation")
+def column_string(spark, sf):
+    rows = columns.entries_of(table(spark, sf, "nation"), "n_nationkey")
+    return columns.array(rows, "n_name").select(F.col("entry").cast("int").alias("entry"), "value", F.octet_length("value").alias("n_bytes"))
+
+
+@query("SELECT vec_id AS entry, (k - 1)::INT AS k, embedding[k] AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)")
+def column_fixed_matrix(spark, sf):
+    return columns.matrix(columns.entries_of(table(spark, sf, "embeddings"), "vec_id"), "embedding")
+
+
+@query("SELECT l_orderkey, count(*)::INT AS n, min(l_extendedprice + 0.0) AS first, max(l_extendedprice + 0.0) AS last FROM lineitem GROUP BY l_orderkey")
+def column_jagged_counter(spark, sf):
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_extendedprice")).alias("v"))
+    return lists.select("l_orderkey", F.size("v").alias("n"), F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
+
+
+@query("SELECT l_orderkey AS entry, count(*)::INT AS n, true AS fits FROM lineitem GROUP BY l_orderkey")
+def shared_counter_check(spark, sf):
+    lists = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(F.collect_list("l_quantity").alias("a"), F.collect_list("l_discount").alias("b"), F.count("*").cast("int").alias("n"))
+    return lists.select("entry", "n", (columns.counted(lists, "a", "n") & columns.counted(lists, "b", "n")).alias("fits"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::BIGINT AS entry, o_orderkey FROM orders")
+def entry_numbers(spark, sf):
+    return columns.entries(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").select("entry", "o_orderkey")
+
+
+@query("""SELECT (e // 4000)::BIGINT AS chunk, count(*) AS n, sum(v)::DOUBLE AS total
+          FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS e, round(value * 100) AS v FROM events) GROUP BY 1""")
+def chunk_fold(spark, sf):
+    rows = columns.entries(table(spark, sf, "events").withColumn("v", cents("value")), "event_id")
+    return columns.fold(rows, "v", columns.rows_per_basket(32000, 8))
+
+
+@query("""SELECT (e // 4000)::BIGINT AS basket, min(e)::BIGINT AS first_entry, count(*) AS n_entries, (count(*) * 8)::BIGINT AS bytes
+          FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders) GROUP BY 1""")
+def basket_table(spark, sf):
+    return columns.baskets(columns.entries(table(spark, sf, "orders"), "o_orderkey"), "o_totalprice", 8)
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders), w AS (SELECT e FROM e WHERE e % 97 = 5)
+          SELECT e::BIGINT AS entry, (e // 4000)::BIGINT AS basket FROM w""")
+def basket_lookup(spark, sf):
+    rows = columns.entries(table(spark, sf, "orders"), "o_orderkey")
+    return columns.lookup(columns.baskets(rows, "o_totalprice", 8), rows.where("entry % 97 = 5").select("entry"))
+
+
+@query()
+def variable_baskets(spark, sf):
+    rows = columns.entries(table(spark, sf, "part"), "p_partkey")
+    return columns.variable_baskets(rows, codecs.string_size(F.col("p_name")), 2000)
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders) WHERE e < (SELECT count(*) FROM customer)")
+def row_count_rule(spark, sf):
+    n = table(spark, sf, "customer").count()
+    return columns.visible(columns.entries(table(spark, sf, "orders"), "o_orderkey"), n).select("o_orderkey")
+
+
+@query("SELECT s_suppkey, s_nationkey AS a, s_acctbal AS value FROM supplier")
+def leaf_choice(spark, sf):
+    s = columns.entries_of(table(spark, sf, "supplier").withColumn("pair", F.struct(F.col("s_acctbal").alias("b"), F.col("s_nationkey").alias("a"))), "s_suppkey")
+    a = columns.array(s, "pair", "a").withColumnRenamed("value", "a")
+    return a.join(columns.array(s, "pair", "b"), "entry").select(F.col("entry").alias("s_suppkey"), "a", "value")
+
+
+@query("""SELECT * FROM (VALUES (0, 'c_custkey', 'scalar', 'bigint', 1), (1, 'c_name', 'string', 'string', 1), (2, 'c_nationkey', 'scalar', 'int', 1),
+          (3, 'c_acctbal', 'scalar', 'double', 1), (4, 'c_mktsegment', 'string', 'string', 1)) t(pos, "column", kind, element, length), (SELECT count(*) AS entries FROM customer)""")
+def table_description(spark, sf):
+    c = table(spark, sf, "customer")
+    return columns.describe(c).drop("counter").join(c.agg(F.count("*").alias("entries")))
+
+
+# Building tables
+
+def _orders_table(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_quantity")).alias("quantity"))
+    rows = o.join(lines, "o_orderkey", "left").withColumn("quantity", F.coalesce("quantity", F.array().cast("array<double>")))
+    made = build.TableBuilder("orders").column("o_orderkey", "int64").column("o_totalprice", "float64").column("o_orderstatus", "string").column("quantity", "int16", jagged=True)
+    return made.append(rows)
+
+
+@query("""SELECT o_orderkey, o_totalprice, o_orderstatus, coalesce(n, 0)::INT AS nquantity, coalesce(s, 0)::BIGINT AS sum_quantity
+          FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def built_table(spark, sf):
+    rows = _orders_table(spark, sf).rows
+    total = F.aggregate("quantity", F.lit(0).cast("long"), lambda t, x: t + x)
+    return rows.select("o_orderkey", "o_totalprice", "o_orderstatus", "nquantity", total.alias("sum_quantity"))
+
+
+@query("""WITH l AS (SELECT count(*) AS n FROM orders), s AS (SELECT sum(CASE WHEN strlen(o_orderstatus) < 255 THEN strlen(o_orderstatus) + 1 ELSE strlen(o_orderstatus) + 5 END) AS b FROM orders),
+               q AS (SELECT count(*) AS m FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+          SELECT 0 AS pos, 'o_orderkey' AS "column", n AS entries, (8 * n)::BIGINT AS bytes, 4000::BIGINT AS rows_per_basket, ceil(n / 4000)::BIGINT AS baskets FROM l
+          UNION ALL SELECT 1, 'o_totalprice', n, 8 * n, 4000, ceil(n / 4000) FROM l
+          UNION ALL SELECT 2, 'o_orderstatus', n, b, NULL, NULL FROM l, s
+          UNION ALL SELECT 3, 'nquantity', n, 4 * n, 8000, ceil(n / 8000) FROM l
+          UNION ALL SELECT 4, 'quantity', n, 2 * m, NULL, NULL FROM l, q""")
+def built_baskets(spark, sf):
+    return _orders_table(spark, sf).baskets()
+
+
+@query("""SELECT * FROM (VALUES (0, 'o_orderkey/L'), (1, 'o_totalprice/D'), (2, 'o_orderstatus/C'), (3, 'nquantity/I'), (4, 'quantity[nquantity]/S')) t(pos, title), (SELECT count(*) AS entries FROM orders)""")
+def leaf_titles(spark, sf):
+    made = _orders_table(spark, sf)
+    titles = spark.createDataFrame(list(enumerate(made.titles())), "pos int, title string")
+    return titles.join(made.rows.agg(F.count("*").alias("entries")))
+
+
+# Axes and histograms
+
+PRICE = Axis.fixed(50, 0.0, 100000.0)
+CUTS = [0.0, 5000.0, 20000.0, 20000.0, 45000.0, 90000.0]
+WIDE = Axis.variable(CUTS)
+SHAPE = Axis.fixed(10, 0.0, 50.0)
+DISCOUNT = Axis.fixed(4, 0.0, 0.08)
+
+
+@query("SELECT l_orderkey, l_extendedprice AS x, " + bin_sql("l_extendedprice", 50, 0.0, 100000.0) + " AS bin FROM lineitem")
+def findbin_fixed(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), PRICE.find(F.col("l_extendedprice")).alias("bin"))
+
+
+@query("SELECT l_orderkey, l_extendedprice AS x, " + cuts_sql("l_extendedprice", CUTS) + " AS bin FROM lineitem")
+def findbin_variable(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), WIDE.find(F.col("l_extendedprice")).alias("bin"))
+
+
+@query("""WITH r AS (SELECT floor(min(l_extendedprice + 0.0)) AS lo, ceil(max(l_extendedprice + 0.0)) + 1 AS hi FROM lineitem), b AS (SELECT unnest(range(1, 26))::INT AS bin)
+          SELECT bin, lo + ((hi - lo) / 25) * (bin - 1) AS low, lo + ((hi - lo) / 25) * bin AS high, lo + (hi - lo) * (bin - 1) / 25 AS low_edge,
+                 (hi - lo) / 25 AS width, ((lo + ((hi - lo) / 25) * (bin - 1)) + (lo + ((hi - lo) / 25) * bin)) / 2 AS center FROM b, r""")
+def axis_edges(spark, sf):
+    r = table(spark, sf, "lineitem").agg(F.floor(F.min("l_extendedprice")).alias("lo"), (F.ceil(F.max("l_extendedprice")) + 1).alias("hi")).collect()[0]
+    return Axis.fixed(25, r.lo, r.hi).table(spark)
+
+
+def hist_sql(bin_: str, n: int, content: str = "count(*)::DOUBLE", error: str = "sqrt(abs(content))", source: str = "lineitem", extra: str = "") -> str:
+    return f"""WITH c AS (SELECT {bin_} AS bx, {content} AS content{extra} FROM {source} GROUP BY 1), g AS (SELECT unnest(range(0, {n + 2}))::INT AS bx),
+               d AS (SELECT g.bx, bx + 1 AS cell, coalesce(content, 0.0) AS content{', coalesce(sumw2, 0.0) AS sumw2' if extra else ''} FROM g LEFT JOIN c USING (bx))
+               SELECT *, {error} AS error FROM d"""
+
+
+@query(hist_sql(bin_sql("l_extendedprice", 50, 0.0, 100000.0), 50))
+def hist1d_fixed(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_extendedprice")], [PRICE])
+
+
+@query(hist_sql(cuts_sql("l_extendedprice", CUTS), 5))
+def hist1d_variable(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_extendedprice")], [WIDE])
+
+
+@query(hist_sql(bin_sql("l_extendedprice", 50, 0.0, 100000.0), 50, "sum(l_quantity)", "sqrt(sumw2)", extra=", sum(l_quantity * l_quantity) AS sumw2"))
+def hist1d_weighted_sumw2(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_extendedprice")], [PRICE], F.col("l_quantity"), sumw2=True)
+
+
+@query(hist_sql(bin_sql("l_quantity", 10, 0.0, 50.0), 10, "sum(l_quantity)", "sqrt(abs(content))").replace("SELECT *, sqrt(abs(content)) AS error FROM d", "SELECT *, abs(content) AS sumw2, sqrt(abs(content)) AS error FROM d"))
+def hist1d_sumw2_reset(spark, sf):
+    cells = histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_quantity")], [SHAPE], F.col("l_quantity"), sumw2=True)
+    return histogram.reset_sumw2(cells).select("bx", "cell", "content", "sumw2", "error")
+
+
+@query("SELECT bx, cell, content::BIGINT AS content, error FROM (" + hist_sql(bin_sql("l_quantity", 10, 0.0, 50.0), 10, "sum(l_linenumber)::DOUBLE") + ")")
+def hist1d_long_cells(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_quantity")], [SHAPE], F.col("l_linenumber"), cell="long")
+
+
+@query("""SELECT count(*) AS entries, sum(w) FILTER (i) AS sumw, sum(w * w) FILTER (i) AS sumw2, sum(w * x) FILTER (i) AS sumwx, sum(w * x * x) FILTER (i) AS sumwx2
+          FROM (SELECT l_quantity AS x, l_linenumber::DOUBLE AS w, l_quantity >= 0 AND l_quantity < 50 AS i FROM lineitem)""")
+def hist1d_stats(spark, sf):
+    return histogram.statistics(table(spark, sf, "lineitem"), [F.col("l_quantity")], [SHAPE], F.col("l_linenumber"))
+
+
+LABELS = ["view", "click", "purchase", "signup"]
+
+
+@query("SELECT g.bin, coalesce(n, 0)::DOUBLE AS content FROM (SELECT unnest(range(0, 6))::INT AS bin) g LEFT JOIN (SELECT list_position(['view', 'click', 'purchase', 'signup'], event_type) AS bin, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup') GROUP BY 1) USING (bin)")
+def hist_labelled(spark, sf):
+    return histogram.label_histogram(table(spark, sf, "events"), F.col("event_type"), Axis.labelled(LABELS))
+
+
+_BX, _BY, _BZ = bin_sql("l_quantity", 10, 0.0, 50.0), bin_sql("l_discount", 4, 0.0, 0.08), bin_sql("l_tax", 3, 0.0, 0.09)
+
+
+@query(f"""WITH c AS (SELECT {_BX} AS bx, {_BY} AS by, count(*)::DOUBLE AS content FROM lineitem GROUP BY 1, 2),
+           g AS (SELECT (i % 12)::INT AS bx, (i // 12)::INT AS by FROM (SELECT unnest(range(0, 72)) AS i))
+           SELECT bx, by, (bx + 12 * by + 1)::INT AS cell, coalesce(content, 0.0) AS content, sqrt(coalesce(content, 0.0)) AS error FROM g LEFT JOIN c USING (bx, by)""")
+def hist2d(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_quantity"), F.col("l_discount")], [SHAPE, DISCOUNT])
+
+
+@query("""SELECT count(*) AS entries, sum(w) FILTER (i) AS sumw, sum(w * w) FILTER (i) AS sumw2, sum(w * x) FILTER (i) AS sumwx, sum(w * x * x) FILTER (i) AS sumwx2,
+          sum(w * y) FILTER (i) AS sumwy, sum(w * y * y) FILTER (i) AS sumwy2, sum(w * x * y) FILTER (i) AS sumwxy
+          FROM (SELECT l_quantity AS x, l_linenumber::DOUBLE AS y, 2.0::DOUBLE AS w, l_quantity >= 0 AND l_quantity < 50 AND l_linenumber >= 0 AND l_linenumber < 6 AS i FROM lineitem)""")
+def hist2d_stats(spark, sf):
+    return histogram.statistics(table(spark, sf, "lineitem"), [F.col("l_quantity"), F.col("l_linenumber")], [SHAPE, Axis.fixed(6, 0, 6)], F.lit(2.0))
+
+
+@query(f"""WITH c AS (SELECT {_BX} AS bx, {_BY} AS by, {_BZ} AS bz, count(*)::DOUBLE AS content FROM lineitem GROUP BY 1, 2, 3),
+           g AS (SELECT (i % 12)::INT AS bx, (i // 12 % 6)::INT AS by, (i // 72)::INT AS bz FROM (SELECT unnest(range(0, 360)) AS i))
+           SELECT bx, by, bz, (bx + 12 * (by + 6 * bz) + 1)::INT AS cell, coalesce(content, 0.0) AS content, sqrt(coalesce(content, 0.0)) AS error FROM g LEFT JOIN c USING (bx, by, bz)""")
+def hist3d(spark, sf):
+    return histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")], [SHAPE, DISCOUNT, Axis.fixed(3, 0.0, 0.09)])
+
+
+@query(hist_sql(bin_sql("l_quantity", 10, 0.0, 50.0), 10))
+def hist_merged(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    parts = [histogram.histogram(rows.where(c), [F.col("l_quantity")], [SHAPE]) for c in ("l_returnflag = 'N'", "l_returnflag != 'N'")]
+    return histogram.merged(parts)
+
+
+@query("SELECT count(*) FILTER (y IS NULL) AS n_unbinned FROM (SELECT CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS y FROM lineitem)")
+def hist_unbinned(spark, sf):
+    return histogram.unbinned(table(spark, sf, "lineitem"), [F.when(F.col("l_linenumber") != 3, F.col("l_quantity"))])
+
+
+HOURS = Axis.fixed(24, 0.0, 24.0)
+
+
+def profile_sql(error: str, effective: str = "CASE WHEN sw2 > 0 THEN sw * sw / sw2 ELSE 0.0 END") -> str:
+    return f"""WITH r AS (SELECT (1 + extract(hour FROM ts))::INT AS bx, (1 + event_id % 3)::DOUBLE AS w, round(value) AS y FROM events),
+      s AS (SELECT bx, sum(w) AS sw, sum(w * w) AS sw2, sum(w * y) AS swy, sum(w * y * y) AS swy2 FROM r GROUP BY bx),
+      d AS (SELECT g.bx, coalesce(sw, 0.0) AS sw, coalesce(sw2, 0.0) AS sw2, coalesce(swy, 0.0) AS swy, coalesce(swy2, 0.0) AS swy2 FROM (SELECT unnest(range(0, 26))::INT AS bx) g LEFT JOIN s USING (bx)),
+      e AS (SELECT *, CASE WHEN sw != 0 THEN swy / sw ELSE 0.0 END AS content, {effective} AS effective FROM d),
+      f AS (SELECT *, CASE WHEN sw != 0 THEN sqrt(abs(swy2 / sw - content * content)) ELSE 0.0 END AS spread FROM e),
+      h AS (SELECT *, CASE WHEN effective > 0 THEN spread / sqrt(effective) ELSE 0.0 END AS of_mean FROM f)
+      SELECT bx, bx + 1 AS cell, sw AS entries, effective, content, CASE WHEN sw != 0 THEN {error} ELSE 0.0 END AS error FROM h"""
+
+
+def _profile(spark, sf, mode, **more):
+    e = table(spark, sf, "events")
+    return histogram.profile(e, [F.hour("ts")], [HOURS], F.round("value"), mode, F.col("event_id") % 3 + 1, **more)
+
+
+@query(profile_sql("of_mean"))
+def profile1d_mean(spark, sf):
+    return _profile(spark, sf, "mean")
+
+
+@query(profile_sql("spread"))
+def profile1d_spread(spark, sf):
+    return _profile(spark, sf, "spread")
+
+
+@query(profile_sql("CASE WHEN spread = 0 AND effective > 0 THEN 1 / sqrt(12 * effective) ELSE of_mean END"))
+def profile1d_integer(spark, sf):
+    return _profile(spark, sf, "integer")
+
+
+@query(profile_sql("1 / sqrt(sw)"))
+def profile1d_gauss(spark, sf):
+    return _profile(spark, sf, "gauss")
+
+
+@query(profile_sql("of_mean", "sw"))
+def profile1d_unweighted(spark, sf):
+    return _profile(spark, sf, "mean", weighted=False)
+
+
+@query(f"""WITH s AS (SELECT {_BX} AS bx, {_BY} AS by, count(*)::DOUBLE AS sw, sum(l_linenumber)::DOUBLE AS swy, sum(l_linenumber * l_linenumber)::DOUBLE AS swy2 FROM lineitem GROUP BY 1, 2),
+           g AS (SELECT (i % 12)::INT AS bx, (i // 12)::INT AS by FROM (SELECT unnest(range(0, 72)) AS i)),
+           d AS (SELECT bx, by, coalesce(sw, 0.0) AS sw, coalesce(swy / sw, 0.0) AS content, swy2 FROM g LEFT JOIN s USING (bx, by))
+           SELECT bx, by, (bx + 12 * by + 1)::INT AS cell, sw AS entries, CASE WHEN sw > 0 THEN sw * sw / sw ELSE 0.0 END AS effective, content,
+                  CASE WHEN sw > 0 THEN sqrt(abs(swy2 / sw - content * content)) / sqrt(sw * sw / sw) ELSE 0.0 END AS error FROM d""")
+def profile2d(spark, sf):
+    return histogram.profile(table(spark, sf, "lineitem"), [F.col("l_quantity"), F.col("l_discount")], [SHAPE, DISCOUNT], F.col("l_linenumber"))
+
+
+@query("""SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS idx, s_suppkey::DOUBLE AS x, s_acctbal AS y, 0.5::DOUBLE AS exlow, 0.5::DOUBLE AS exhigh,
+          s_nationkey::DOUBLE AS eylow, (s_nationkey + 1)::DOUBLE AS eyhigh FROM supplier""")
+def graph_points_errors(spark, sf):
+    s = table(spark, sf, "supplier")
+    return graph.graph(s, [F.col("s_suppkey")], F.col("s_suppkey"), F.col("s_acctbal"), (F.lit(0.5),), (F.col("s_nationkey"), F.col("s_nationkey") + 1))
+
+
+@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS idx, 0.0::DOUBLE AS low, 0.0::DOUBLE AS high FROM supplier")
+def graph_plain_errors(spark, sf):
+    s = table(spark, sf, "supplier")
+    return graph.y_errors(graph.graph(s, [F.col("s_suppkey")], F.col("s_suppkey"), F.col("s_acctbal")))
+
+
+@query(hist_sql(bin_sql("value", 20, 0.0, 500.0), 20, "count(*)::DOUBLE", "sqrt(sumw2)", "events", ", count(*)::DOUBLE AS sumw2").replace("SELECT *,", "SELECT bx, content, sumw2,"))
+def stream_hist1d(spark, sf):
+    """The batch histogram filled by a stream over the same files."""
+    axis, base = Axis.fixed(20, 0.0, 500.0), spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    folder = f"{base}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+    histograms.fill(stream, folder, [F.col("value")], [axis]).awaitTermination()
+    return histograms.contents(spark.range(0), folder, [axis])
+
+
+# Nested values
+
+@query("SELECT o_orderkey, c_name AS name, c_acctbal AS balance, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey")
+def struct_assemble(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    event = nested.assemble(rows, "event", {"event.name": "c_name", "event.balance[1]": "c_acctbal", "event.price": "o_totalprice"}, "event")
+    return event.select("o_orderkey", "event.*")
+
+
+@query("SELECT l_orderkey, l_partkey AS first, l_quantity AS second FROM lineitem")
+def pairs_map(spark, sf):
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("first"), F.col("l_quantity").alias("second"))).alias("m"))
+    return lists.select("l_orderkey", F.explode(nested.pairs_of(F.col("m"))).alias("p")).select("l_orderkey", "p.*")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem")
+def memberwise_transpose(spark, sf):
+    lists = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey")).alias("rows"))
+    split = lists.select("l_orderkey", *[c.alias(m) for m, c in nested.memberwise("rows", ["l_partkey", "l_suppkey"]).items()])
+    return split.select("l_orderkey", F.explode(nested.transposed("l_partkey", "l_suppkey")).alias("r")).select("l_orderkey", "r.*")
+
+
+@query("SELECT p_partkey, (p_size >> 0) & 1 = 1 AS b0, (p_size >> 2) & 1 = 1 AS b2, (p_size >> 5) & 1 = 1 AS b5 FROM part")
+def bitset(spark, sf):
+    b = table(spark, sf, "part").select("p_partkey", nested.bits(F.col("p_size"), 8).alias("b"))
+    return b.select("p_partkey", *[F.col("b")[i].alias(f"b{i}") for i in (0, 2, 5)])
+
+
+@query("SELECT vec_id, (j - 1)::INT AS part, list_sum(list_transform(embedding[(j - 1) * 16 + 1 : j * 16], lambda x: round(x::DOUBLE * 1e6)))::BIGINT AS total FROM (SELECT *, unnest(range(1, len(embedding) // 16 + 1)) AS j FROM embeddings)")
+def counted_member(spark, sf):
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(nested.reshaped(whole, 16)).alias("part", "v"))
+    return rows.select("vec_id", "part", F.aggregate("v", F.lit(0.0), lambda t, x: t + x).cast("long").alias("total"))
+
+
+# Codecs and catalogs
+
+@query("""SELECT o_orderkey, (((year(o_orderdate) - 1995)::BIGINT << 26) | (month(o_orderdate)::BIGINT << 22) | (day(o_orderdate)::BIGINT << 17)
+          | (hour(o_orderdate)::BIGINT << 12) | (minute(o_orderdate)::BIGINT << 6) | second(o_orderdate)::BIGINT) AS code, date_trunc('second', o_orderdate)::TIMESTAMP AS back
+          FROM orders WHERE year(o_orderdate) >= 1995""")
+def datime_pack(spark, sf):
+    o = table(spark, sf, "orders").where(F.year("o_orderdate") >= 1995)
+    code = codecs.pack_time(F.col("o_orderdate"))
+    return o.select("o_orderkey", code.alias("code"), codecs.unpack_time(code).alias("back"))
+
+
+@query("SELECT l_orderkey, round_even((l_discount - 0.0) * (65536.0 / 0.125), 0)::BIGINT AS code, round_even((l_discount - 0.0) * (65536.0 / 0.125), 0)::DOUBLE / (65536.0 / 0.125) + 0.0 AS back FROM lineitem")
+def packed_float_ranged(spark, sf):
+    code = codecs.ranged(F.col("l_discount"), 0.0, 0.125, 16)
+    return table(spark, sf, "lineitem").select("l_orderkey", code.alias("code"), codecs.unranged(code, 0.0, 0.125, 16).alias("back"))
+
+
+@query("SELECT l_orderkey, l_extendedprice::FLOAT::DOUBLE AS x FROM lineitem")
+def double32(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", codecs.through_float(F.col("l_extendedprice")).alias("x"))
+
+
+@query("SELECT DISTINCT p_size AS setting, (p_size // 10 * 100 + p_size % 10)::INT AS packed, (p_size // 10)::INT AS algorithm, (p_size % 10)::INT AS level FROM part")
+def compression_code(spark, sf):
+    s = table(spark, sf, "part").select(F.col("p_size").alias("setting")).distinct()
+    s = s.withColumn("packed", codecs.compression_setting(F.floor(F.col("setting") / 10), F.col("setting") % 10))
+    algorithm, level = codecs.compression(F.col("packed"))
+    return s.select("setting", "packed", algorithm.alias("algorithm"), level.alias("level"))
+
+
+def _keys(spark, sf):
+    e = table(spark, sf, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("name"), "event_id")
+    return e.withColumn("cycle", F.row_number().over(Window.partitionBy("name").orderBy("event_id")))
+
+
+_KEYS = "(SELECT event_type || '-' || user_id AS name, event_id, (row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id))::INT AS cycle FROM events)"
+
+
+@query(f"SELECT name, max(cycle) AS cycle, arg_max(event_id, cycle) AS event_id FROM {_KEYS} GROUP BY name")
+def latest_cycle(spark, sf):
+    return catalog.latest(_keys(spark, sf), ["name"])
+
+
+@query(f"SELECT name, min(event_id) AS first FROM {_KEYS} GROUP BY name")
+def catalog_names(spark, sf):
+    return catalog.names(_keys(spark, sf), "event_id")
+
+
+@query(f"""WITH have AS (SELECT name, max(cycle) AS c FROM {_KEYS} WHERE event_id % 2 = 0 GROUP BY name)
+           SELECT n.name, n.event_id AS position, (coalesce(c, 0) + row_number() OVER (PARTITION BY n.name ORDER BY n.event_id))::INT AS cycle
+           FROM {_KEYS} n LEFT JOIN have h ON n.name = h.name WHERE n.event_id % 2 = 1""")
+def appended_cycles(spark, sf):
+    k = _keys(spark, sf)
+    return catalog.appended(k.where("event_id % 2 = 0"), k.where("event_id % 2 = 1").select("name", F.col("event_id").alias("position"))).select("name", "position", "cycle")
+
+
+@query("""WITH t AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN l_shipmode ELSE l_shipmode || ';' || (CASE l_linenumber % 4 WHEN 1 THEN '*' WHEN 2 THEN 'x' ELSE l_linenumber::VARCHAR END) END AS text
+          FROM (SELECT *, l_returnflag || ';' || l_linestatus AS l_shipmode FROM lineitem))
+          SELECT text, count(*) AS n, CASE WHEN regexp_matches(text, ';([0-9]+|\\*)$') THEN regexp_replace(text, ';([0-9]+|\\*)$', '') ELSE text END AS name,
+                 CASE WHEN regexp_matches(text, ';[0-9]+$') THEN regexp_extract(text, ';([0-9]+)$', 1)::INT ELSE 9999 END AS cycle FROM t GROUP BY ALL""")
+def name_cycles(spark, sf):
+    li = table(spark, sf, "lineitem")
+    name = F.concat_ws(";", "l_returnflag", "l_linestatus")
+    kind = F.col("l_linenumber") % 4
+    text = F.when(kind == 0, name).otherwise(F.concat_ws(";", name, F.when(kind == 1, F.lit("*")).when(kind == 2, F.lit("x")).otherwise(F.col("l_linenumber").cast("string"))))
+    counts = li.groupBy(text.alias("text")).agg(F.count("*").alias("n"))
+    name, cycle = codecs.name_cycle(F.col("text"))
+    return counts.select("text", "n", name.alias("name"), cycle.alias("cycle"))
+
+
+_SPANS = "(SELECT p_partkey * 10 AS first, p_partkey * 10 + p_size AS last, p_brand FROM part WHERE p_partkey % 7 < 4)"
+
+
+@query(f"""WITH m AS (SELECT *, max(last) OVER (PARTITION BY p_brand ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_SPANS}),
+           i AS (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m)
+           SELECT p_brand, min(first) AS first, max(last) AS last FROM i GROUP BY p_brand, island""")
+def interval_coalesce(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey % 7 < 4")
+    return catalog.coalesced(p.select("p_brand", (F.col("p_partkey") * 10).alias("first"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("last")), ["p_brand"])
+
+
+@query("SELECT sum(p_size + 1)::BIGINT AS free_bytes, NULL::BIGINT AS tail FROM part")
+def free_list_bytes(spark, sf):
+    return catalog.free_bytes(table(spark, sf, "part").select((F.col("p_partkey") * 100).alias("first"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("last")))
+
+
+@query("""SELECT n_nationkey, (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1)::INT AS plain, (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1 + 8)::INT AS big,
+          (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1 + 19)::INT AS basket, (strlen(n_name) + 1)::INT AS name_bytes FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def key_length(spark, sf):
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    size = lambda **k: codecs.key_size(F.col("n_name"), F.col("r_name"), F.lit("Records"), **k)
+    return n.select("n_nationkey", size().alias("plain"), size(big=F.lit(True)).alias("big"), size(basket=True).alias("basket"), codecs.string_size(F.col("n_name")).alias("name_bytes"))
+
+
+@query("SELECT o_orderkey, o_totalprice::BIGINT - o_custkey != 20 AS packed, o_custkey % 5 - 2 < 0 AS gap, o_custkey > 1000 AS big FROM orders")
+def record_predicates(spark, sf):
+    o = table(spark, sf, "orders")
+    packed = codecs.is_compressed(F.round("o_totalprice").cast("long"), F.col("o_custkey") + 40, F.lit(20))
+    return o.select("o_orderkey", packed.alias("packed"), codecs.is_gap(F.col("o_custkey") % 5 - 2).alias("gap"), codecs.is_big(F.col("o_custkey")).alias("big"))
+
+
+@query("""SELECT p_type AS class, 1 + max(p_size) AS version, count(*) AS n_members FROM part WHERE (p_type, p_size) IN (SELECT (p_type, max(p_size)) FROM part GROUP BY p_type) GROUP BY p_type""")
+def described_classes(spark, sf):
+    p = table(spark, sf, "part")
+    members = p.select(F.col("p_type").alias("class"), (F.col("p_size") + 1).alias("version"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.lit(3).alias("code"), F.lit(4).alias("size"), F.lit("").alias("title"))
+    return catalog.described(members).groupBy("class", "version").agg(F.count("*").alias("n_members"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'S' || (ps // 7) AS a, 'S' || (ps // 2) AS b FROM (SELECT s_suppkey AS ps FROM supplier)),
+          r(class) AS (SELECT 'S1' UNION SELECT b FROM r JOIN e ON a = class) SELECT class FROM r""")
+def class_closure(spark, sf):
+    k = F.col("s_suppkey")
+    needs = table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.floor(k / 7)).alias("class"), F.concat(F.lit("S"), F.floor(k / 2)).alias("needs")).distinct()
+    return catalog.closure(needs, ["S1"]).select("class")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::INT AS n_bytes, true AS same FROM documents")
+def block_round_trip(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("plain"))
+    n = F.octet_length("plain")
+    packed = d.select("doc_id", "plain", n.alias("n_bytes"), *[blocks.compress(F.col("plain"), a, 3).alias(f"b{a}") for a in blocks.LETTERS])
+    same = F.lit(True)
+    for a in blocks.LETTERS:
+        same = same & (blocks.decompress(F.col(f"b{a}"), F.col("n_bytes")) == F.col("plain"))
+    return packed.select("doc_id", "n_bytes", same.alias("same"))
+
+
+@query()
+def raw_hash(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", blocks.xxhash64_raw(F.col("n_name").cast("binary")).alias("hash"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
