@@ -42,7 +42,7 @@ def bin_sql(x: str, n: int, lo: float, hi: float) -> str:
 
 
 def cuts_sql(x: str, cuts: list[float]) -> str:
-    inner = " ".join(f"WHEN {x} >= {c} THEN {i}" for i, c in reversed(list(enumerate(cuts, 1)))[1:])
+    inner = " ".join(f"WHEN {x} >= {c} THEN {i}" for i, c in reversed(list(enumerate(cuts[:-1], 1))))
     return f"(CASE WHEN {x} < {cuts[0]} THEN 0 WHEN {x} >= {cuts[-1]} THEN {len(cuts)} {inner} END)::INT"
 
 
