@@ -34,12 +34,16 @@ def transposed(*columns: str) -> Column:
 
 def memberwise(column: str, members: list[str]) -> dict[str, Column]:
     """A list of structs as one list a member."""
-    return {m: F.transform(column, lambda x, m=m: x[m]) for m in members}
+
+    def member(m: str) -> Column:
+        return F.transform(column, lambda x: x[m])
+
+    return {m: member(m) for m in members}
 
 
 def pairs(keys: Column, values: Column) -> Column:
     """A map as an array of (first, second): repeated keys stay."""
-    return F.transform(F.arrays_zip(keys.alias("a"), values.alias("b")), lambda x: F.struct(x["0"].alias("first"), x["1"].alias("second")))
+    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("first"), v.alias("second")))
 
 
 def pairs_of(entries: Column) -> Column:

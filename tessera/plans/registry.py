@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[f.__name__] = re.sub(r"\bby\b", '"by"', sql)  # a key word in SQL, a column here
         return f
 
     return add
