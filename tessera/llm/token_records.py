@@ -31,7 +31,7 @@ SEQUENCES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Added to a rotated CRC so that checksums stored within checksummed data stay apart; a fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
 #: Words that a task keeps encoded at most, before it begins anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
 
 
 def masked_crc(data: bytes) -> int:
