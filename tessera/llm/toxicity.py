@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import exact, held_out, slices, training_sample
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 24, 8, 8, 8
-WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 17, (3, 4, 6, 7, 8)
+WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 17, 1 << 18, (4, 6, 8)
 #: Labelled documents of either class in the fit at most, their longest text, passes over them.
-MOST, LONGEST, EPOCHS, BATCH, RATE = 2000, 60_000, 12, 64, 0.01
-THRESHOLD, SEEN = 0.3, 5
+MOST, LONGEST, EPOCHS, BATCH, RATE = 2000, 60_000, 10, 64, 0.01
+THRESHOLD, SEEN, UNKNOWN = 0.3, 6, {"words": 0, "grams": -1}
 #: Words that a task keeps prepared at most, before it begins anew.
 KEPT_WORDS = 150_000
 
@@ -55,10 +55,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rolled = rolled * np.uint64(0x100000001B3) + data[at + k] + np.uint64(1)
             if k + 1 in GRAMS:
                 fits = (at + k + 1 <= end) | ((at == np.repeat(begin, size)) & (k + 1 == GRAMS[0]))
-                found.append(((rolled * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) >> np.uint64(47))[fits].astype(np.int64))
+                found.append(((rolled * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) >> np.uint64(46))[fits].astype(np.int64))
                 owners.append(owner[fits])
         np.add.at(whole, owner, (data[: len(at)] + np.uint64(7)) * (np.uint64(0xD6E8FEB86659FD93) ** (at - np.repeat(begin, size)).astype(np.uint64)))
-        whole = (whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
+        whole = (whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
     order = np.argsort(np.concatenate(owners), kind="stable")
     rows, owners = np.concatenate(found)[order] % GRAM_ROWS, np.concatenate(owners)[order]
     return whole.astype(np.int64) % WORD_ROWS, rows, np.searchsorted(owners, np.arange(len(words)))
@@ -196,8 +196,11 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return padded[np.concatenate(starts)[:, None] + np.arange(WINDOW)], owner, begin
 
 
-def _log_odds(docs: list[list[bytes]], labels: np.ndarray, p: dict) -> None:
-    """The first entry of each embedding: smoothed log-odds, 0 where under ``SEEN`` documents have it."""
+def _log_odds(docs: list[list[bytes]], labels: np.ndarray, p: dict) -> dict[str, np.ndarray]:
+    """The first entry of each embedding: smoothed log-odds.
+
+    Words and n-grams of under ``SEEN`` documents say nothing: their embeddings are fixed, at 0 and below all others.
+    """
     vocabulary = sorted(set().union(*docs))
     own, rows, begin = grams(vocabulary)
     ends = [*begin[1:], len(rows)]
@@ -208,11 +211,15 @@ def _log_odds(docs: list[list[bytes]], labels: np.ndarray, p: dict) -> None:
         seen[y]["words"].update({int(own[i]) for i in at})
         seen[y]["grams"].update(set(np.concatenate([rows[begin[i] : ends[i]] for i in at]).tolist()) if at else ())
     n = [max(1, int((labels == y).sum())) for y in (0, 1)]
+    known = {"words": np.zeros(WORD_ROWS, bool), "grams": np.zeros(GRAM_ROWS, bool)}
     for name in ("words", "grams"):
         for row in seen[0][name].keys() | seen[1][name].keys():
             a, b = seen[1][name][row], seen[0][name][row]
             odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
-            p[name][row, 0] = np.clip(odds, -3, 3) * (a + b >= SEEN)
+            p[name][row, 0] = np.clip(odds, -3, 3)
+            known[name][row] = a + b >= SEEN
+        p[name][~known[name]] = UNKNOWN[name]
+    return known
 
 
 def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
@@ -225,7 +232,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
         p["wo"][:] = 0
         p["bo"][:] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return p
-    _log_odds(docs, labels, p)
+    known = _log_odds(docs, labels, p)
     vocabulary = sorted(set().union(*docs))
     own, rows, begin = grams(vocabulary)
     count = np.diff([*begin, len(rows)])
@@ -240,7 +247,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        if epoch in (2, 4, 6, 8, 10):
+        if epoch in (2, 4, 6, 8):
             _, chosen = Reader(p).scores(docs)
             top = first + chosen // STRIDE
         order = rng.permutation(len(docs))
@@ -266,8 +273,8 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
             of_word = np.zeros((len(used), 2 * DIM), np.float32)
             np.add.at(of_word, local, dx[part > 0])
             g |= {"words": np.zeros_like(p["words"]), "grams": np.zeros_like(p["grams"])}
-            np.add.at(g["words"], own[used], of_word[:, :DIM])
-            np.add.at(g["grams"], g_rows, of_word[g_owner, DIM:] * (each == most[g_owner]))
+            np.add.at(g["words"], own[used], of_word[:, :DIM] * known["words"][own[used], None])
+            np.add.at(g["grams"], g_rows, of_word[g_owner, DIM:] * ((each == most[g_owner]) & known["grams"][g_rows, None]))
             step += 1
             for name, grad in g.items():
                 m, v = moments[name]
@@ -279,7 +286,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
 
 def scored(documents: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    model = documents.sparkSession.sparkContext.broadcast(p)  # about 5 MB, fixed by the sizes above
+    model = documents.sparkSession.sparkContext.broadcast(p)  # about 9 MB, fixed by the sizes above
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.value)
