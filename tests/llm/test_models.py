@@ -177,5 +177,5 @@ def test_models_average_in_a_tree(spark, monkeypatch):
 
 
 def test_slices():
-    assert [(s.start, s.stop) for s in slices(["ab", "c", "defg", "", "h"], 3)] == [(0, 2), (2, 4), (4, 5)]
+    assert [(s.start, s.stop) for s in slices(["ab", "c", "defg", "", "h"], 3)] == [(0, 2), (2, 3), (3, 5)]
     assert list(slices([], 3)) == []
