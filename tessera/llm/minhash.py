@@ -5,9 +5,10 @@ A document's set is its distinct 5-word shingles.  Equal sets form one class, wh
 signatures are compared batch by batch, and the pair is pruned once the posterior probability of a similarity of
 ``SIMILAR`` or more falls below ``MISS``; survivors are verified on their full sets.
 
-No bucket is expanded into all its pairs.  First every class meets the first and the last class of each of its
-buckets.  Links join classes into components, and only members of one bucket that are still in different components
-meet each other afterwards: a pair left out then cannot change any component.
+No bucket is expanded into all its pairs.  First every class meets the first class of its buckets in ``EARLY`` bands.
+Links join classes into components.  Then, over all bands, any two components that a bucket's first class and another
+member lie in are compared by one pair.  In the end all members of one bucket that are still in different components
+meet: a pair left out then cannot change any component.
 
 Edge cases.  Null and empty texts, and texts without words, have empty sets and are linked with nothing, not even each
 other; a null id counts as larger than any other, and a component of null ids only has a null id; rows that repeat an
@@ -29,7 +30,7 @@ from tessera.llm.common import exact, slices, written
 
 SHINGLE, SIMILAR = 5, 0.75
 #: 1 - (1 - 0.75 ** 7) ** 80: a pair at the threshold shares no bucket with probability 1e-5.
-BANDS, ROWS = 80, 7
+BANDS, ROWS, EARLY = 80, 7, 8
 #: Minima kept for verification, a byte each; compared so many at a time; least posterior probability of a link.
 KEPT, STEP, MISS = 256, 32, 1e-7
 SETS = "doc_id decimal(20,0), text_key long, class binary, n_shingles long, bands array<long>, signature binary"
@@ -169,8 +170,8 @@ def survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(compare, EDGES)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar; the sets are built again from one document of each class."""
+def rebuilt(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, shingles): the full sets of classes, from the one document that stands for each."""
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Shingles()
@@ -180,6 +181,14 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 sets = [s.tobytes() for s in reader.sets(texts[part])]
                 yield pd.DataFrame({"class": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": sets})
 
+    places = classes.select(F.col("stands.text_key").alias("text_key"), F.col("stands.doc_id").alias("_id")).distinct()
+    texts = _keyed(documents).alias("d").join(places.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p._id")))
+    return texts.select("text").mapInPandas(rebuild, "class binary, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -189,10 +198,6 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield batch[["a", "b"]][np.array(keep, bool)]
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "stands"), "class")
-    places = used.select(F.col("stands.text_key").alias("text_key"), F.col("stands.doc_id").alias("_id")).distinct()
-    texts = _keyed(documents).alias("d").join(places.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p._id")))
-    sets = written(texts.select("text").mapInPandas(rebuild, "class binary, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"x{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInPandas(check, EDGES).distinct()
 
@@ -225,19 +230,36 @@ def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
     """(class, root) of all classes with a link."""
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("stands")
     classes = written(signed_docs.where("n_shingles > 0").groupBy("class").agg(stands, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "class")
-    buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "class")
+    buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").drop("high")
     shared = written(members.join(buckets, "bucket"), "shared")
-    ends = F.explode(F.array("low", "high"))
-    pairs = shared.select(F.col("class").alias("x"), ends.alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = written(verified(written(survivors(pairs, classes), "survivors"), classes, documents), "edges")
-    apart = shared.join(components(first), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    apart = apart.join(apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "bucket")
-    apart = written(apart, "apart")
+    sharing = shared.select("class").distinct().join(classes.select("class", "signature", "stands"), "class")
+    sharing = written(sharing, "sharing")
+    sets = written(rebuilt(documents, sharing), "sets")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return written(verified(written(survivors(pairs, sharing), "survivors"), sets), "edges")
+
+    def rooted(of: DataFrame, column: str, name: str) -> DataFrame:
+        known = roots.select(F.col("class").alias(column), F.col("root").alias(name))
+        return of.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+    low, high = F.least("class", "low").alias("a"), F.greatest("class", "low").alias("b")
+    first = written(shared.where((F.col("band") < EARLY) & (F.col("class") != F.col("low"))).select(low, high).distinct(), "pairs")
+    edges = links(first)
+    roots = written(components(edges), "roots")
+    # One pair for any two components that a bucket's first class and another member lie in.
+    between = rooted(rooted(shared.where("class != low"), "class", "rc"), "low", "rl").where("rc != rl")
+    second = between.groupBy(F.least("rc", "rl"), F.greatest("rc", "rl")).agg(F.min(F.struct(low, high)).alias("p")).select("p.*")
+    edges = edges.unionByName(links(second))
+    roots = written(components(edges), "roots")
+    # All pairs of members of one bucket that are still apart.
+    apart = rooted(shared.select("bucket", "class"), "class", "root")
+    mixed = apart.groupBy("bucket").agg(F.min("root").alias("rl"), F.max("root").alias("rh")).where("rl != rh").select("bucket")
+    apart = written(apart.join(mixed, "bucket"), "apart")
     x, y = (apart.select("bucket", F.col("class").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = verified(written(survivors(rest, classes), "survivors"), classes, documents)
-    return components(first.unionByName(second))
+    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+    return components(edges.unionByName(links(rest.join(first, ["a", "b"], "left_anti"))))
 
 
 def decided(documents: DataFrame) -> DataFrame:
