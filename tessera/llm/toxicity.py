@@ -13,7 +13,6 @@ text enters a score; other columns are ignored.
 
 from __future__ import annotations
 
-import array
 from collections import Counter
 from collections.abc import Iterator
 
