@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -56,6 +57,18 @@ def read_frames(stream) -> Iterator[bytes]:
         yield body[:n]
 
 
+class _Places(dict):
+    """Places of pieces in order of their first sight; ``new`` has those not yet encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = out = len(self)
+        self.new.append(piece)
+        return out
+
+
 class WordEncoder:
     """Encodes whole texts by way of their pieces, each of which the tokenizer sees once.
 
@@ -65,7 +78,7 @@ class WordEncoder:
     """
 
     PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+    PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -75,7 +88,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.starts, self.lengths, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.n = self.n_ids = 0
 
@@ -84,7 +97,8 @@ class WordEncoder:
             return self.PIECE.findall(text.lower())
         return [p.decode() for p in text.encode().split()]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
+        new, self.place.new = self.place.new, []
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(counts.sum()))
@@ -95,7 +109,6 @@ class WordEncoder:
         self.starts[self.n : self.n + len(new)] = self.n_ids + np.cumsum(counts) - counts
         self.lengths[self.n : self.n + len(new)] = counts
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.place.update(zip(new, range(self.n, self.n + len(new)), strict=True))
         self.n, self.n_ids = self.n + len(new), self.n_ids + len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +116,14 @@ class WordEncoder:
         if self.n > KEPT_WORDS:
             self.clear()
         pieces = [self._pieces(t) for t in texts]
-        flat = [p for ps in pieces for p in ps]
-        if new := list(set(flat).difference(self.place)):
-            self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        edges = np.cumsum([0, *map(len, pieces)])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(pieces)), np.int64, int(edges[-1]))
+        if self.place.new:
+            self._learn()
         n = self.lengths[at]
         ends = np.cumsum(n)
         out = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
         before = np.concatenate([[0], ends])
-        edges = np.cumsum([0, *map(len, pieces)])
         return out, before[edges[1:]] - before[edges[:-1]]
 
 
