@@ -12,23 +12,27 @@ def words(t):
 
 
 def brute(docs, items):
+    """Every window of every document against every window of every item, mask by mask."""
+    sought = {i: words(t) for i, (_, t) in enumerate(items) if len(words(t)) >= d.LEAST}
+    seen = {}
+    for i, v in sought.items():
+        for m in d.MASKS if len(v) >= d.SPAN else ("1" * len(v),):
+            for q in range(len(v) - len(m) + 1):
+                seen.setdefault(m, {}).setdefault(tuple(v[q + k] for k, b in enumerate(m) if b == "1"), []).append((i, q))
     out = set()
     for doc_id, text in docs:
         w = words(text)
-        for item_id, item in items:
-            v = words(item)
-            if len(v) < d.LEAST:
-                continue
-            masks = d.MASKS if len(v) >= d.SPAN else ("1" * len(v),)
-            diagonals = {
-                p - q for m in masks for p in range(len(w) - len(m) + 1) for q in range(len(v) - len(m) + 1)
-                if all(w[p + k] == v[q + k] for k, b in enumerate(m) if b == "1")
-            }
+        diagonals = set()
+        for m, windows in seen.items():
+            ones = [k for k, b in enumerate(m) if b == "1"]
+            for p in range(len(w) - len(m) + 1):
+                diagonals |= {(i, p - q) for i, q in windows.get(tuple(w[p + k] for k in ones), ())}
+        for i, g in diagonals:
+            v = sought[i]
             n = min(d.WINDOW, len(v))
-            for g in diagonals:
-                best = max((sum(w[s + k] == v[s - g + k] for k in range(n)) for s in range(max(0, g), min(len(w), g + len(v)) - n + 1)), default=0)
-                if best * d.WINDOW >= n * d.NEEDED:
-                    out.add((doc_id, item_id))
+            best = max((sum(w[s + k] == v[s - g + k] for k in range(n)) for s in range(max(0, g), min(len(w), g + len(v)) - n + 1)), default=0)
+            if best * d.WINDOW >= n * d.NEEDED:
+                out.add((doc_id, items[i][0]))
     return out
 
 
