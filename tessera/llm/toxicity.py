@@ -225,7 +225,8 @@ def fit(sample: list[tuple[str, int]], seed: int = 5) -> dict[str, np.ndarray]:
     """Train on (text, label) pairs."""
     rng = np.random.default_rng(seed)
     p = _fresh(rng)
-    docs, labels = [pieces(t) for t, _ in sample], np.array([y for _, y in sample], np.int64)
+    pool: dict[bytes, bytes] = {}  # one object a word
+    docs, labels = [[pool.setdefault(w, w) for w in pieces(t)] for t, _ in sample], np.array([y for _, y in sample], np.int64)
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
         p["wo"][:] = 0
