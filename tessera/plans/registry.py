@@ -146,7 +146,7 @@ def built_table(spark, sf):
     return rows.select("o_orderkey", "o_totalprice", "o_orderstatus", "nquantity", total.alias("sum_quantity"))
 
 
-@query("""WITH l AS (SELECT count(*) AS n FROM orders), s AS (SELECT sum(CASE WHEN strlen(o_orderstatus) < 255 THEN strlen(o_orderstatus) + 1 ELSE strlen(o_orderstatus) + 5 END) AS b FROM orders),
+@query("""WITH l AS (SELECT count(*) AS n FROM orders), s AS (SELECT sum(CASE WHEN strlen(o_orderstatus) < 255 THEN strlen(o_orderstatus) + 1 ELSE strlen(o_orderstatus) + 5 END)::BIGINT AS b FROM orders),
                q AS (SELECT count(*) AS m FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
           SELECT 0 AS pos, 'o_orderkey' AS "column", n AS entries, (8 * n)::BIGINT AS bytes, 4000::BIGINT AS rows_per_basket, ceil(n / 4000)::BIGINT AS baskets FROM l
           UNION ALL SELECT 1, 'o_totalprice', n, 8 * n, 4000, ceil(n / 4000) FROM l
