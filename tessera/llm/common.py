@@ -36,9 +36,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def mark() -> int:
+    """A point in the list of written tables, for ``dropped``."""
+    return len(_WRITTEN)
+
+
+def dropped(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since ``since`` but the last, which holds all that is still wanted of them."""
+    for path in _WRITTEN[since:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[since:-1]
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a URI or path and the path in it; works in tasks and on the driver."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import exact, slices, written
+from tessera.llm.common import dropped, exact, mark, slices, written
 
 SHINGLE, SIMILAR = 5, 0.75
 #: 1 - (1 - 0.75 ** 7) ** 80: a pair at the threshold shares no bucket with probability 1e-5.
@@ -265,7 +265,9 @@ def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
 def decided(documents: DataFrame) -> DataFrame:
     """One row a document: set size, component, and whether it is the component's smallest."""
     docs = written(signed(documents), "signed")
+    since = mark()
     links = written(linked_classes(docs, documents), "links")
+    dropped(documents.sparkSession, since)
     rows = docs.select("doc_id", "text_key", "n_shingles", "class").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(own).alias("first"))
@@ -279,9 +281,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates of an earlier one, with their own columns; equal rows count as one."""
+    since = mark()
     rows = decided(documents)
     own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.text_key") == F.col("text_key"))
     keep = written(rows.where(own).select(F.col("doc_id").alias("_n_id"), F.col("text_key").alias("_n_key"), (F.col("n_shingles") > 0).alias("_n_some")).distinct(), "kept")
+    dropped(documents.sparkSession, since)
     keyed = documents.withColumn("_n_key0", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = keyed.join(keep, (F.col("_n_key0") == F.col("_n_key")) & exact("doc_id").eqNullSafe(F.col("_n_id")))
     some = out.where("_n_some").dropDuplicates(["_n_key0", "doc_id"])

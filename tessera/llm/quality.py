@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, WORD_GAP, written
+from tessera.llm.common import SPACE_CHARS, WORD_GAP, dropped, mark, written
 
 #: Statistics of the vector, each with the least standard deviation that an estimate may have.
 FLOORS = {"length": 0.8, "word_length": 0.12, "symbols": 0.35, "dup_lines": 0.35, "repeats": 0.7}
@@ -27,6 +27,8 @@ MIN_GROUP, SUBSET, STEPS = 50, 0.75, 4
 SUBSET_FACTOR, WEIGHT_FACTOR, WEIGHT_CUT, CUTOFF = 1.412, 1.055, 12.833, 30.856
 #: Bins of the distance, in each power of two.
 BINS = 16
+#: Groups up to which their estimates, 21 numbers each, are broadcast.
+FEW_GROUPS = 10_000
 
 
 def _let(value: Column, body) -> Column:
@@ -153,12 +155,18 @@ def concentrated(rows: DataFrame, estimates: DataFrame, share: float, factor: fl
     return _factored(total.select("_q_fit", *[f"_q_m{i}" for i in range(P)], *[f"_q_c{i}{j}" for i, j in pairs]))
 
 
-def annotated(df: DataFrame, carried: list[str]) -> DataFrame:
-    """The ``carried`` columns of ``df`` with its statistics, ``_q_base_failed`` and ``_q_kept``; ``df`` needs text, lang and source."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def described(df: DataFrame, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of ``df`` with group keys, statistics and vector; ``df`` needs text, lang and source."""
     stats = statistics(df).withColumns({"_q_lang": _key("lang"), "_q_source": _key("source")})
-    stats = stats.select(*carried, "_q_lang", "_q_source", *[f"_q_{c}" for c in names])
-    table = written(stats.withColumns({f"_q_x{i}": x for i, x in enumerate(vector().values())}), "statistics")
+    stats = stats.select(*carried, "_q_lang", "_q_source", *[f"_q_{c}" for c in NAMES])
+    return stats.withColumns({f"_q_x{i}": x for i, x in enumerate(vector().values())})
+
+
+def estimated(table: DataFrame) -> DataFrame:
+    """A row for each (lang, source) of a described table, with the estimate that holds for it."""
     passing = table.where(~F.col("_q_base_failed")).select("_q_lang", "_q_source", *[f"_q_x{i}" for i in range(P)])
     groups = written(fit_groups(passing), "groups")
     rows = written(passing.join(groups, ["_q_lang", "_q_source"]).drop("_q_lang", "_q_source"), "vectors")
@@ -166,20 +174,34 @@ def annotated(df: DataFrame, carried: list[str]) -> DataFrame:
     for _ in range(STEPS):
         estimates = written(concentrated(rows, estimates, SUBSET, SUBSET_FACTOR), "estimates")
     estimates = written(concentrated(rows, estimates, 0.5, WEIGHT_FACTOR, WEIGHT_CUT), "estimates")
-    by_group = groups.join(estimates, "_q_fit").drop("_q_fit").withColumn("_q_fit", F.concat_ws("\x1f", "_q_lang", "_q_source")).drop("_q_lang", "_q_source")
-    judged = with_distance(table.where(~F.col("_q_base_failed")).withColumn("_q_fit", F.concat_ws("\x1f", "_q_lang", "_q_source")), by_group)
-    columns = [*carried, *[f"_q_{c}" for c in names]]
+    own = F.concat_ws("\x1f", "_q_lang", "_q_source")
+    return written(groups.join(estimates, "_q_fit").withColumn("_q_fit", own).drop("_q_lang", "_q_source"), "by_group")
+
+
+def judged(table: DataFrame, by_group: DataFrame, carried: list[str]) -> DataFrame:
+    """``carried`` columns, statistics, ``_q_kept`` and ``_q_d2`` of a described table."""
+    columns = [*carried, *[f"_q_{c}" for c in NAMES]]
+    if by_group.count() <= FEW_GROUPS:
+        by_group = F.broadcast(by_group)  # FEW_GROUPS rows of a fixed size at most; more of them are joined by a shuffle
+    passing = with_distance(table.where(~F.col("_q_base_failed")).withColumn("_q_fit", F.concat_ws("\x1f", "_q_lang", "_q_source")), by_group)
     failed = table.where("_q_base_failed").select(*columns, F.lit(False).alias("_q_kept"), F.lit(None).cast("double").alias("_q_d2"))
-    return judged.select(*columns, (F.col("_q_d2") <= CUTOFF).alias("_q_kept"), "_q_d2").unionByName(failed)
+    return passing.select(*columns, (F.col("_q_d2") <= CUTOFF).alias("_q_kept"), "_q_d2").unionByName(failed)
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
     """One row a document: statistics, base verdict and verdict."""
-    out = annotated(documents, ["doc_id"])
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in names], F.col("_q_d2").alias("distance2"))
+    table = written(described(documents, ["doc_id"]), "statistics")
+    out = judged(table, estimated(table), ["doc_id"])
+    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in (*NAMES, "kept")], F.col("_q_d2").alias("distance2"))
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return annotated(documents, documents.columns).where("_q_kept").select(*documents.columns)
+    """The documents that pass, with their own columns only.
+
+    Texts are read and described twice, once for the estimates and once for the verdicts, rather than written beside them.
+    """
+    since = mark()
+    by_group = estimated(written(described(documents, []), "statistics"))
+    dropped(documents.sparkSession, since)
+    out = described(documents, documents.columns).where(~F.col("_q_base_failed"))
+    return judged(out, by_group, documents.columns).where("_q_kept").select(*documents.columns)
