@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import tables
+
 
 def entries(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``entry`` by a total order.
 
-    Rows are numbered within ranges of the first key and moved up by the ranges before, so no task sees all rows.
+    Rows are numbered within ranges of the keys and moved up by the ranges before, so no task sees all rows.  The ranges
+    are written once: dealt a second time, for the counts, rows could fall into other ranges.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = tables.stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "entries")
     local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -6,6 +6,7 @@ is appended, after its data are committed; what a lost writer left behind has no
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,21 @@ from tessera.operators import catalog
 KEYS = "name string, cycle int, kind string, title string, path string, entries long, position long"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below ``spark.checkpoint.dir``: what reads it twice sees the same rows, however they were dealt.
+
+    Only where the session has no such setting (tests, a laptop) a local folder is made and set.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keys(spark: SparkSession, store: str) -> DataFrame:
     """The catalog; empty for a new store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/keys")

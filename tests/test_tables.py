@@ -21,6 +21,21 @@ def test_entries_number_rows_in_order(spark):
     assert [r.entry for r in got] == list(range(len(got))) and [r.k for r in got] == sorted(r.k for r in got)
 
 
+def test_entries_of_many_wide_rows(spark):
+    """Ranges that are coalesced keep every row, whatever is read of them."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 200)
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+        n = 3_000_000
+        df = spark.range(n).select(F.pmod(F.col("id") * 1_000_003, F.lit(n)).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+        got = columns.entries(df, "k").agg(F.count("*"), F.count(F.when(F.col("entry") != F.col("k"), 1)), F.count(F.when(F.length("wide") == 64, 1)))
+        assert tuple(got.collect()[0]) == (n, 0, n)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_chunks_give_the_whole(spark):
     df = columns.entries_of(spark.range(101), "id")
     folded = columns.fold(df, "id", columns.rows_per_basket(256, 8))
