@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced seeds: hashes of masked token windows, then verified overlaps.
 
 Words are lower-cased and cut at ASCII punctuation and white space.  Each mask hashes some positions of a
-``SPAN``-word window and ignores the others, so that a changed word breaks only the masks that look at it.  The
+window and ignores the others, so that a changed word breaks only the masks that look at it.  However the changed words
+of an overlap that counts are placed, one mask of the item's length lies between them, so none is missed.  The
 benchmark's hashes are set in a bit filter of fixed size, which tasks use to pass over text that cannot match;
 what remains is joined by hash with all benchmark windows.  A hit counts once an aligned window of ``WINDOW`` words
 near it (the whole item where that is shorter) has at least ``NEEDED`` of ``WINDOW`` words equal.
 
 Edge cases.  Null and empty texts and items match nothing; items of fewer than ``LEAST`` words are not searched for;
-items shorter than a mask are sought by all their words; repeated items give a row each, rows with equal doc_id
+shorter items have masks of fewer words; repeated items give a row each, rows with equal doc_id
 and text one; an empty table on either side gives an empty result.  Other columns are ignored.
 """
 
@@ -23,9 +24,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import exact, slices, written
 
-#: The seeds: weight 8, span 13; fixed values.
-MASKS = ("1101011001011", "1011100110101", "1110010101011", "1100111010101")
-SPAN, WINDOW, NEEDED, LEAST = 13, 13, 10, 5
+#: The seeds, fixed values: of weight 6 for items of 12 words and more, 5 for 9 to 11 words, 4 for 5 to 8 words.  In some
+#: place in a window each set avoids any 3 changed words of 13 and 2 of 12, any 2 of 9, 10 or 11, and any 1 of 5 to 8.
+LONG = ("1101111", "111010011", "11100001011", "1101000111", "11100111")
+MIDDLE = ("111011", "1001111", "11010011", "10110101")
+SHORT = ("1111", "10111", "11101", "11011")
+MASKS = LONG + MIDDLE + SHORT
+#: ``SPAN`` words and more are sought by masks: with those of short items, all that are searched for.
+SPAN, WINDOW, NEEDED, LEAST = 5, 13, 10, 5
 #: The filter has 2 ** BITS bits (4 MB), whatever the benchmark's size; a fuller one only lets more through.
 BITS = 25
 SEGMENT = "doc_id long, text_key string, seg_start int, words array<long>, hit_pos array<int>, hit_hash array<long>"
@@ -83,6 +89,11 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return _mix(total)
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks that find every overlap with an item of ``n`` words."""
+    return LONG if n >= 12 else MIDDLE if n >= 9 else SHORT if n >= LEAST else ()
+
+
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BITS)).astype(np.int64), (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
@@ -96,8 +107,7 @@ def seeds(benchmark: DataFrame) -> DataFrame:
             rows = []
             for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
                 words, _ = reader.hashes([text])
-                masks = MASKS if len(words) >= SPAN else ("1" * len(words),) if len(words) >= LEAST else ()
-                found = [seed_hashes(words, m) for m in masks]
+                found = [seed_hashes(words, m) for m in masks_of(len(words))]
                 if not found:
                     continue
                 pos = np.concatenate([np.arange(len(f)) for f in found])
@@ -120,10 +130,9 @@ def bit_filter(items: DataFrame) -> np.ndarray:
     return out
 
 
-def segments(documents: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+def segments(documents: DataFrame, bits: np.ndarray, masks: list[str]) -> DataFrame:
     """The stretches of documents around windows that pass the filter, with their word hashes."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
-    masks = [*MASKS, *["1" * n for n in lengths]]
 
     def passes(h: np.ndarray) -> np.ndarray:
         first, second = _bits(h)
@@ -133,13 +142,13 @@ def segments(documents: DataFrame, bits: np.ndarray, lengths: list[int]) -> Data
 
     def cut(words: np.ndarray) -> Iterator[tuple]:
         found = [(h, passes(h)) for h in (seed_hashes(words, m) for m in masks)]
-        pos = np.concatenate([p for _, p in found])
+        pos = np.concatenate([p for _, p in found]) if found else ()
         if not len(pos):
             return
         order = np.argsort(pos, kind="stable")
         pos, h = pos[order], np.concatenate([x[p] for x, p in found])[order]
         for run in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > 2 * WINDOW) + 1):
-            low, high = max(0, pos[run[0]] - WINDOW), min(len(words), pos[run[-1]] + SPAN + WINDOW)
+            low, high = max(0, pos[run[0]] - WINDOW), min(len(words), pos[run[-1]] + 2 * WINDOW)
             yield int(low), words[low:high].astype(np.int64), pos[run].astype(np.int32), h[run].astype(np.int64)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,8 +183,8 @@ def overlap(words: np.ndarray, seg_start: int, item: np.ndarray, diagonal: int)
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id) of each verified overlap, with place and equal words of its best window."""
     items = written(seeds(benchmark), "seeds")
-    lengths = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # fewer than SPAN values
-    found = written(segments(documents, bit_filter(items), lengths), "segments")
+    lengths = [r.n for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
+    found = written(segments(documents, bit_filter(items), sorted({m for n in lengths for m in masks_of(n)})), "segments")
     once = found.dropDuplicates(["text_key", "seg_start"])
     hits = once.select("text_key", "seg_start", F.explode(F.arrays_zip("hit_pos", "hit_hash")).alias("hit")).select("text_key", "seg_start", F.col("hit.hit_pos").alias("pos"), F.col("hit.hit_hash").alias("hash"))
     # Equal items are verified once; a mask's hits on one item and diagonal count once.

@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
 
+import pytest
+
 from tessera.llm import decontamination as d
 
 DOCS = "doc_id long, text string, text_key string, pos int"
@@ -70,6 +73,45 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id or -1 for r in clean.collect()) == sorted(i or -1 for i, t in docs if (i, t) not in [(j, u) for j, u in docs if j in bad])
 
 
+@pytest.mark.parametrize("n", range(d.LEAST, d.WINDOW + 1))
+def test_masks_avoid_any_changed_words(n):
+    """Every set of changed words that the verifier accepts leaves some mask whole in some place."""
+    most = n - -(-n * d.NEEDED // d.WINDOW)
+    places = [{p + k for k, b in enumerate(m) if b == "1"} for m in d.masks_of(n) for p in range(n - len(m) + 1)]
+    assert all(any(not seed & set(changed) for seed in places) for changed in itertools.combinations(range(n), most))
+
+
+def verified(docs, items):
+    """Every diagonal of every document and item, whatever the masks."""
+    out = set()
+    for doc_id, text in docs:
+        w = words(text)
+        for item_id, t in items:
+            v = words(t)
+            n = min(d.WINDOW, len(v))
+            for g in range(-len(v), len(w)) if len(v) >= d.LEAST else ():
+                equal = [w[s] == v[s - g] for s in range(max(0, g), min(len(w), g + len(v)))]
+                if any(sum(equal[s : s + n]) * d.WINDOW >= n * d.NEEDED for s in range(len(equal) - n + 1)):
+                    out.add((doc_id, item_id))
+    return out
+
+
+def test_against_the_verifier_alone(spark):
+    """Overlaps of 5 to 16 words with as many changed words as count, at any places, the ends too."""
+    rng = random.Random(5)
+    make = lambda n: ["".join(rng.choices("abcdef", k=4)) for _ in range(n)]
+    items = [(n, make(n)) for n in range(4, 17)]
+    docs = []
+    for n, item in items:
+        most = len(item) - -(-min(13, n) * d.NEEDED // d.WINDOW) - max(0, n - 13)
+        every = list(itertools.combinations(range(n), most))
+        for changed in rng.sample(every, min(4, len(every))) + [tuple(range(most)), tuple(range(n - most, n)), tuple(range(most + 1))]:
+            docs.append((len(docs), " ".join(make(rng.randint(0, 9)) + ["x" if k in changed else w for k, w in enumerate(item)] + make(rng.randint(0, 9)))))
+    texts = [(n, " ".join(item)) for n, item in items]
+    found = {(r.doc_id, r.item_id) for r in d.leaks(*frames(spark, docs, texts)).collect()}
+    assert found == verified(docs, texts) and len(found) >= 70
+
+
 def test_full_filter_lets_everything_through(spark, monkeypatch):
     monkeypatch.setattr(d, "BITS", 6)
     docs, items = data()
