@@ -3,8 +3,8 @@
 Tokens are the corpus's ``FREQUENT`` most frequent words and, for all others, ``RARE`` classes by the word's ending.
 The network sees ``SIDE`` tokens on either side of a masked one.  It is trained where the data are: in each round
 every task starts from the shared weights, masks every ``STRIDE``-th position of all its documents, and the tasks'
-weights are averaged by the positions they saw, in a tree.  So word counts and weights are gathered from all
-documents.  A document's score is the sum of the log-probabilities of all its tokens, each given its neighbours.
+weights are averaged by the positions they saw, in a tree.  A round begins one position further than the one before, so
+that every position is a target in one of them, and word counts and weights are gathered from all documents.  A document's score is the sum of the log-probabilities of all its tokens, each given its neighbours.
 
 Edge cases.  A null or empty text has no tokens, score 0 and no mean; repeated rows count each time and get equal
 scores; an empty table gives an empty result.  Other columns are ignored.
@@ -25,7 +25,8 @@ from tessera.llm.common import exact, slices, written
 
 FREQUENT, RARE, SIDE, DIM, HIDDEN = 111, 16, 2, 16, 32
 V = 1 + FREQUENT + RARE  # token 0 stands beyond a document's ends
-STRIDE, RATES, BATCH = 6, (0.01, 0.004), 512
+RATES, BATCH = (0.01, 0.004), 1536
+STRIDE = len(RATES)
 #: Weights that one task averages; words that a task counts or keeps before it begins anew.
 FAN_IN, KEPT_WORDS = 64, 300_000
 
@@ -129,21 +130,23 @@ def train(p: dict, batches: Iterator[list[bytes]], rate: float, phase: int) -> i
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     one_hot, step, seen = np.eye(V, dtype=np.float32), 0, 0
     for docs in batches:
-        data, places, _ = contexts(docs)
-        masked = places[phase::STRIDE]
+        data, places, n = contexts(docs)
+        within = np.arange(len(places)) - np.repeat(np.cumsum(n) - n, n)
+        masked = places[within % STRIDE == phase]
         order = np.random.default_rng(len(masked)).permutation(masked)
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
             around, h = _hidden(p, data, at)
             z = h @ p["w2"] + p["b2"]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            d = (z / z.sum(axis=1, keepdims=True) - one_hot[data[at]]) / len(at)
+            d = np.exp(z - z.max(axis=1, keepdims=True))
+            d /= d.sum(axis=1, keepdims=True)
+            d[np.arange(len(at)), data[at]] -= 1
+            d /= len(at)
             dh = (d @ p["w2"].T) * (1 - h * h)
             g = {"w2": h.T @ d, "b2": d.sum(axis=0), "b1": dh.sum(axis=0), "e": 0, "w1": np.empty_like(p["w1"])}
             for j in range(2 * SIDE):
-                by_token = one_hot[around[:, j]].T @ dh
-                g["w1"][j] = p["e"].T @ by_token
-                g["e"] = g["e"] + by_token @ p["w1"][j].T
+                g["w1"][j] = p["e"][around[:, j]].T @ dh
+                g["e"] = g["e"] + one_hot[around[:, j]].T @ (dh @ p["w1"][j].T)
             step, seen = step + 1, seen + len(at)
             for name, grad in g.items():
                 m, v = moments[name]

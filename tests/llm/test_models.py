@@ -169,6 +169,15 @@ def test_language_model_sums_all_tokens():
         assert abs(total - sum_) < 1e-3 * max(1, abs(total))
 
 
+def test_language_model_is_trained_on_every_position(monkeypatch):
+    docs = [b"", bytes([5]), bytes([5, 9, 77]), bytes(range(1, 100)) * 20]
+    seen, hidden = [], masked_lm._hidden
+    monkeypatch.setattr(masked_lm, "_hidden", lambda p, data, at: seen.extend(at.tolist()) or hidden(p, data, at))
+    p = masked_lm.fresh(np.ones(masked_lm.V))
+    total = sum(masked_lm.train(p, iter([docs]), rate, phase) for phase, rate in enumerate(masked_lm.RATES))
+    assert total == sum(map(len, docs)) and sorted(seen) == masked_lm.contexts(docs)[1].tolist()
+
+
 def test_models_average_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "FAN_IN", 3)
     rows = [(i, 1 + i % 3, np.full(4, i, "<f4").tobytes()) for i in range(20)]
