@@ -4,7 +4,9 @@ Tokens are the corpus's ``FREQUENT`` most frequent words and, for all others, ``
 The network sees ``SIDE`` tokens on either side of a masked one.  It is trained where the data are: in each round
 every task starts from the shared weights, masks every ``STRIDE``-th position of all its documents, and the tasks'
 weights are averaged by the positions they saw, in a tree.  A round begins one position further than the one before, so
-that every position is a target in one of them, and word counts and weights are gathered from all documents.  A document's score is the sum of the log-probabilities of all its tokens, each given its neighbours.
+that every position is a target in one of them, and word counts and weights are gathered from all documents.  A document's score is the sum of the log-probabilities of all its words: the network's, of the word's token given its
+neighbours, and for words outside the vocabulary that of the word within its class, from the counts of all words with
+add-one smoothing.  Words of ``KNOWN`` counts at most are looked up in tasks, all others are joined by word.
 
 Edge cases.  A null or empty text has no tokens, score 0 and no mean; repeated rows count each time and get equal
 scores; an empty table gives an empty result.  Other columns are ignored.
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import exact, slices, written
 
-FREQUENT, RARE, SIDE, DIM, HIDDEN = 111, 16, 2, 16, 32
+FREQUENT, RARE, SIDE, DIM, HIDDEN = 223, 32, 2, 16, 32
 V = 1 + FREQUENT + RARE  # token 0 stands beyond a document's ends
 RATES, BATCH = (0.01, 0.004), 1536
 STRIDE = len(RATES)
 #: Weights that one task averages; words that a task counts or keeps before it begins anew.
 FAN_IN, KEPT_WORDS = 64, 300_000
+#: Words, the most frequent ones, whose log-probabilities within their classes are sent to all tasks; parts of one as whole numbers.
+KNOWN, UNIT = 200_000, 1e-9
 
 _TABLE = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
@@ -57,9 +61,36 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def tokens(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame:
-    """(doc_id, ids): a byte for each word."""
-    known = {w: i + 1 for i, (w, _) in enumerate(frequent)}
+def word_scores(counts: DataFrame, frequent: list[bytes]) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, score) of the words outside the vocabulary, and the counts of the classes.
+
+    A score is log P(word | class) in ``UNIT``s, so that sums are exact in any order.  Every word counts once more than it
+    stands, and so does one word that stands nowhere.
+    """
+    known = counts.sparkSession.createDataFrame([(w,) for w in frequent], "word binary")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("class", F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(RARE)).cast("int"))  # FREQUENT words at most
+    sums = rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # RARE rows at most
+    total, whole = np.zeros(RARE), np.ones(RARE)
+    for c in sums:
+        total[c["class"]], whole[c["class"]] = c.n, c.n + c.words + 1
+    score = F.round((F.log(F.col("n") + 1) - F.get(F.lit(np.log(whole).tolist()), F.col("class"))) / UNIT).cast("long")
+    return rare.select("word", "n", score.alias("score")), total
+
+
+def known_scores(scores: DataFrame) -> tuple[dict[bytes, int], int]:
+    """The scores of words that stand at least so often that ``KNOWN`` words do at most, and that bound as a power of two."""
+    sizes = dict(scores.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect())  # 64 rows at most
+    power = max(sizes, default=0) + 1
+    while power and sum(n for p, n in sizes.items() if p >= power - 1) <= KNOWN:
+        power -= 1
+    rows = scores.where(F.floor(F.log2("n")) >= power).select("word", "score").toPandas()  # KNOWN rows at most
+    return dict(zip(map(bytes, rows["word"]), rows["score"].tolist(), strict=True)), power
+
+
+def tokens(documents: DataFrame, frequent: list[bytes], known: dict[bytes, int]) -> DataFrame:
+    """(doc_id, ids, score, rest, row): a byte for each word, the sum of the ``known`` scores, and all words without one."""
+    vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
+    shared = documents.sparkSession.sparkContext.broadcast(known | dict.fromkeys(frequent, 0))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         class Kept(dict):
@@ -67,17 +98,22 @@ def tokens(documents: DataFrame, frequent: list[tuple[bytes, int]]) -> DataFrame
                 self[w] = out = 1 + FREQUENT + zlib.crc32(w[-3:]) % RARE
                 return out
 
-        place = Kept(known)
+        place, scores = Kept(vocabulary), shared.value
         for batch in batches:
-            out = []
+            ids, sums, rest = [], [], []
             for t in batch["text"]:
                 if len(place) > KEPT_WORDS:
-                    place = Kept(known)
-                out.append(bytes(map(place.__getitem__, pieces(t))))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
+                    place = Kept(vocabulary)
+                words = pieces(t)
+                ids.append(bytes(map(place.__getitem__, words)))
+                found = list(map(scores.get, words))
+                rest.append([w for w, x in zip(words, found, strict=True) if x is None])
+                sums.append(sum(x for x in found if x))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "score": sums, "rest": rest})
 
     rows = documents.select(exact("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(encode, "doc_id decimal(20,0), ids binary")
+    out = rows.mapInPandas(encode, "doc_id decimal(20,0), ids binary, score long, rest array<binary>")
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
 def _shapes() -> dict[str, tuple[int, ...]]:
@@ -206,11 +242,12 @@ def fit(ids: DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document."""
     counts = written(word_counts(documents), "word_counts")
-    frequent = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    ids = written(tokens(documents, frequent), "tokens")
-    rare = counts.agg(F.sum("n").alias("n")).collect()[0].n or 0
-    by_token = np.array([0, *[n for _, n in frequent], *[0] * (FREQUENT - len(frequent))], float)
-    by_token = np.concatenate([by_token, np.full(RARE, (rare - by_token.sum()) / RARE)])
+    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    frequent = [w for w, _ in top]
+    scores, classes = word_scores(counts, frequent)
+    known, power = known_scores(scores)
+    ids = written(tokens(documents, frequent, known), "tokens")
+    by_token = np.array([0, *[n for _, n in top], *[0] * (FREQUENT - len(top)), *classes], float)
     p = fit(ids, by_token)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,8 +255,12 @@ def scored(documents: DataFrame) -> DataFrame:
             docs = [bytes(x) for x in batch["ids"]]
             sums = [log_probabilities(p, docs[k : k + 500]) for k in range(0, len(docs), 500)]
             n = np.fromiter(map(len, docs), np.int64, len(docs))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "log_likelihood": np.concatenate(sums) if sums else np.zeros(0)})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": n, "score": batch["score"], "log_likelihood": np.concatenate(sums) if sums else np.zeros(0)})
 
-    out = ids.mapInPandas(run, "doc_id decimal(20,0), n_tokens long, log_likelihood double")
+    out = ids.select("row", "doc_id", "ids", "score").mapInPandas(run, "row long, doc_id decimal(20,0), n_tokens long, score long, log_likelihood double")
+    others = scores.where(F.floor(F.log2("n")) < power).select("word", F.col("score").alias("other"))  # of few counts, so that no word is in many rows
+    rest = ids.select("row", F.explode("rest").alias("word")).join(others, "word").groupBy("row").agg(F.sum("other").alias("other"))
+    words = (F.col("score") + F.coalesce("other", F.lit(0))) * UNIT
+    out = out.join(rest, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + words)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -1,7 +1,9 @@
 """Toxicity, quality and language models: held-out accuracy, gradients and edge cases."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -153,6 +155,31 @@ def test_language_model_prefers_order(spark):
     assert masked_lm.scored(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 40, 200_000])
+def test_language_model_scores_each_word_within_its_class(spark, monkeypatch, known):
+    """Word scores against a count in Python; a rare word scores below a common one of its class in the same place."""
+    monkeypatch.setattr(masked_lm, "KNOWN", known)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(700)]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(1, 701), k=60)), "x", "en") for i in range(80)]
+    rows += [(900, "aaaqzz", "x", "en"), *[(i, "bbbqzz", "x", "en") for i in range(901, 906)], (None, None, "x", "en")]
+    counts = Counter(w for r in rows for w in masked_lm.pieces(r[1] or ""))
+    frequent = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: masked_lm.FREQUENT]}
+    inside = defaultdict(list)
+    for w, n in counts.items():
+        if w not in frequent:
+            inside[zlib.crc32(w[-3:]) % masked_lm.RARE].append(n)
+    log = lambda w: 0 if w in frequent else math.log((counts[w] + 1) / (sum(x := inside[zlib.crc32(w[-3:]) % masked_lm.RARE]) + len(x) + 1))
+    with monkeypatch.context() as m:
+        m.setattr(masked_lm, "log_probabilities", lambda p, docs: np.zeros(len(docs)))
+        df = spark.createDataFrame(rows, DOCS).repartition(3)
+        got = {r.doc_id: r.log_likelihood for r in masked_lm.scored(df).collect()}
+    assert len(inside) > 10 and len(got) == len(rows)
+    for doc_id, text, *_ in rows:
+        assert abs(got[doc_id] - sum(map(log, masked_lm.pieces(text or "")))) < 1e-5
+    assert got[900] < got[901] - 0.5
+
+
 def test_language_model_sums_all_tokens():
     """Vectorised sums against one token at a time."""
     p = masked_lm.fresh(np.arange(masked_lm.V, dtype=float))
