@@ -22,9 +22,9 @@ from tessera.llm.common import SPACE_CHARS, WORD_GAP, dropped, mark, written
 FLOORS = {"length": 0.8, "word_length": 0.12, "symbols": 0.35, "dup_lines": 0.35, "repeats": 0.7}
 P = len(FLOORS)
 #: Documents of a group below which it is pooled, share of a group in the concentration steps, number of steps.
-MIN_GROUP, SUBSET, STEPS = 50, 0.75, 4
-#: Consistency factors of a 75 % subset and of the 97.5 % reweighting, that quantile, and the 99.999 % cutoff: chi-square with 5 degrees of freedom.
-SUBSET_FACTOR, WEIGHT_FACTOR, WEIGHT_CUT, CUTOFF = 1.412, 1.055, 12.833, 30.856
+MIN_GROUP, SUBSET, STEPS = 50, 0.5, 4
+#: Consistency factors of a 50 % subset and of the 97.5 % reweighting, that quantile, and the 99.999 % cutoff: chi-square with 5 degrees of freedom.
+SUBSET_FACTOR, WEIGHT_FACTOR, WEIGHT_CUT, CUTOFF = 1.912, 1.055, 12.833, 30.856
 #: Bins of the distance, in each power of two.
 BINS = 16
 #: Groups up to which their estimates, 21 numbers each, are broadcast.

@@ -93,6 +93,19 @@ def test_against_brute_force(spark):
     assert {True, False} <= {e[-1] for e in expect if not e[-2]}
 
 
+@pytest.mark.parametrize("share", [0.34, 0.45])
+@pytest.mark.parametrize("copies", [True, False])
+def test_junk_of_a_third_of_a_group(spark, share, copies):
+    """Symbol-ridden junk, copies of one text or varied, is rejected whatever its share below a half."""
+    rng = random.Random(6)
+    text = lambda tail: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) + tail for _ in range(rng.randint(60, 400)))
+    clean, n = 258, round(258 * share / (1 - share))
+    one = text("*#$")
+    data = [(i, text(""), "en", "a", "n", 1) for i in range(clean)] + [(1000 + i, one if copies else text("*#$"), "en", "a", "n", 1) for i in range(n)]
+    kept = {r.doc_id for r in quality.verdicts(spark.createDataFrame(data, DOCS)).where("kept").collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 0.98 * clean
+
+
 def test_stage_keeps_columns(spark):
     df = spark.createDataFrame(rows(), DOCS)
     out = quality.kept_documents(df)
