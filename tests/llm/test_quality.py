@@ -30,37 +30,63 @@ def vector(s):
 def brute(rows):
     """Verdicts with the same estimates, group by group in numpy."""
     stats = [base(r[1]) for r in rows]
-    key = lambda r: (r[2], r[3])
     passing = [i for i, s in enumerate(stats) if not s[5]]
-    size = Counter(key(rows[i]) for i in passing)
-    pool = {k: k if n >= quality.MIN_GROUP else ("lang", k[0]) for k, n in size.items()}
-    inside = Counter()
-    for k, n in size.items():
-        inside[pool[k]] += n
-    fit = {k: p if inside[p] >= quality.MIN_GROUP else "all" for k, p in pool.items()}
     groups = defaultdict(list)
     for i in passing:
-        groups[fit[key(rows[i])]].append(i)
-    floors = np.diag(np.array(list(quality.FLOORS.values())) ** 2)
+        for key in ((), rows[i][2:3], rows[i][2:4]):
+            groups[len(key), *key].append(i)
+    vectors = {k: np.array([vector(stats[i]) for i in v]) for k, v in groups.items()}
+    floors, p = np.array(list(quality.FLOORS.values())), quality.P
+
+    def drawn(raw):
+        out = {}
+        for k in sorted(raw, key=lambda k: k[0]):
+            n, mean, cov = raw[k]
+            if k[0]:
+                wide, share = out[k[0] - 1, *k[1:-1]], n / (n + quality.PRIOR)
+                mean, cov = share * mean + (1 - share) * wide[0], share * cov + (1 - share) * wide[1]
+            out[k] = mean, cov
+        return {k: (m, c + np.diag(np.maximum(floors**2 - np.diag(c), 0))) for k, (m, c) in out.items()}
+
+    distance = lambda k, m, c: np.einsum("ni,ij,nj->n", vectors[k] - m, np.linalg.inv(c), vectors[k] - m)
+    bins = lambda d: np.floor(np.log2(d + 1e-6) * quality.BINS)
+
+    def concentrated(k, m, c, cut=None):
+        x, b = vectors[k], bins(distance(k, m, c))
+        before, size = np.array([(b < v).sum() for v in b]), np.array([(b == v).sum() for v in b])
+        part = np.clip((min(len(x), (len(x) + p + 1) / 2) - before) / size, 0, 1)
+        if cut is not None:
+            part = np.where(b < bins(cut), 1, part)
+        n = part.sum()
+        mean = part @ x / n
+        factor = quality.WEIGHT_FACTOR if cut is not None else 1 + (quality.SUBSET_FACTOR - 1) * 2 * (1 - n / len(x))
+        return n, mean, factor * ((x.T * part) @ x / n - np.outer(mean, mean))
+
+    def first(k):
+        x = vectors[k]
+        quartile = lambda q: np.sort(x, axis=0)[math.ceil(q * len(x)) - 1]
+        middle, wide = quartile(0.5), np.maximum((quartile(0.75) - quartile(0.25)) / 1.349, floors)
+        z = (x - middle) / wide
+        t, scale = np.tanh(z), np.outer(wide, wide)
+        sign = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-12))[:, None]
+        bent = t.T @ t / len(x) - np.outer(t.mean(axis=0), t.mean(axis=0))
+        return [(middle, scale * np.eye(p)), (middle, scale * p * (sign.T @ sign) / len(x)), (middle + wide * t.mean(axis=0), scale * bent / quality.TANH)]
+
+    starts = {k: first(k) for k in vectors}
+    raw = [{k: (len(vectors[k]), *starts[k][s]) for k in vectors} for s in range(quality.STARTS)]
+    before = None
+    for _ in range(quality.STEPS):
+        by = [drawn(r) for r in raw]
+        now = [{k: np.linalg.slogdet(c)[1] for k, (_, c) in b.items()} for b in by]
+        if before and max((abs(n[k] - o[k]) for n, o in zip(now, before) for k in n), default=0) < quality.SETTLED:
+            break
+        before, raw = now, [{k: concentrated(k, *b[k]) for k in b} for b in by]
+    by = [drawn(r) for r in raw]
+    best = {k: min((np.linalg.slogdet(b[k][1])[1], s) for s, b in enumerate(by))[1] for k in vectors}
+    last = drawn({k: concentrated(k, *by[best[k]][k], quality.WEIGHT_CUT) for k in vectors})
     verdict = [False] * len(rows)
-    for members in groups.values():
-        x = np.array([vector(stats[i]) for i in members])
-        n = len(x)
-        quartile = lambda p: np.sort(x, axis=0)[math.ceil(p * n) - 1]
-        mean, cov = quartile(0.5), np.diag(((quartile(0.75) - quartile(0.25)) / 1.349) ** 2)
-        distance = lambda: np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov + floors), x - mean)
-        bins = lambda d: np.floor(np.log2(d + 1e-6) * quality.BINS)
-        for step in range(quality.STEPS + 1):
-            last = step == quality.STEPS
-            share, factor = (0.5, quality.WEIGHT_FACTOR) if last else (quality.SUBSET, quality.SUBSET_FACTOR)
-            b = bins(distance())
-            before = np.array([(b < v).sum() for v in b])
-            near = before < share * n
-            if last:
-                near |= b < bins(quality.WEIGHT_CUT)
-            mean = x[near].mean(axis=0)
-            cov = factor * (x[near].T @ x[near] / near.sum() - np.outer(mean, mean))
-        for i, d in zip(members, distance()):
+    for k in (k for k in vectors if k[0] == 2):
+        for i, d in zip(groups[k], distance(k, *last[k])):
             verdict[i] = d <= quality.CUTOFF
     return [(r[0], *s, bool(v)) for r, s, v in zip(rows, stats, verdict)]
 
