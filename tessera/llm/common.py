@@ -7,6 +7,8 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,37 +25,49 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session has no such setting (tests, a laptop) a local folder is made and set.
+    Only a local session without that setting (tests, a laptop) gets a local folder; elsewhere the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written in the innermost open ``scratch`` of this thread.
+_OPEN: ContextVar[list[str] | None] = ContextVar("tessera_scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_WRITTEN: list[str] = []
-
-
-def mark() -> int:
-    """A point in the list of written tables, for ``dropped``."""
-    return len(_WRITTEN)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside, when it ends, but the last: that holds all that is still wanted of them."""
+    outer, own = _OPEN.get(), []
+    token = _OPEN.set(own)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+    deleted(spark, own[:-1])
+    if outer is not None:
+        outer += own[-1:]
 
 
-def dropped(spark: SparkSession, since: int) -> None:
-    """Delete the tables written since ``since`` but the last, which holds all that is still wanted of them."""
-    for path in _WRITTEN[since:-1]:
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders."""
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _WRITTEN[since:-1]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

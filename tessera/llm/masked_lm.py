@@ -1,15 +1,19 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts each token from both sides.
 
-Tokens are the corpus's ``FREQUENT`` most frequent words and, for all others, ``RARE`` classes by the word's ending.
-The network sees ``SIDE`` tokens on either side of a masked one.  It is trained where the data are: in each round
-every task starts from the shared weights, masks every ``STRIDE``-th position of all its documents, and the tasks'
-weights are averaged by the positions they saw, in a tree.  A round begins one position further than the one before, so
-that every position is a target in one of them, and word counts and weights are gathered from all documents.  A document's score is the sum of the log-probabilities of all its words: the network's, of the word's token given its
-neighbours, and for words outside the vocabulary that of the word within its class, from the counts of all words with
-add-one smoothing.  Words of ``KNOWN`` counts at most are looked up in tasks, all others are joined by word.
+The network sees ``SIDE`` tokens on either side of a masked one and predicts it in two steps: its class, then, among
+the corpus's ``FREQUENT`` most frequent words, the word within its class.  These words are dealt to ``CLASSES`` classes
+of about equal shares of the square roots of their counts, so that frequent words stand in small classes; all other
+words are in ``RARE`` more classes by their endings, and have their share of the class from the counts of all words,
+with add-one smoothing.  So a document's score is the sum of the log-probabilities of all its words, each as itself.
+
+Training is where the data are.  Documents are dealt by a hash to parts of about ``PART`` tokens; in each round every
+part starts from the shared weights, masks every ``STRIDE``-th position of all its documents, and the parts' weights
+are averaged by the positions they saw, in a tree.  A round begins one position further than the one before, so that
+every position is a target in one of them.  Parts depend on the documents alone, not on how the input is partitioned.
+Words of ``KNOWN`` counts at most are looked up in tasks, all others are joined by word.
 
 Edge cases.  A null or empty text has no tokens, score 0 and no mean; repeated rows count each time and get equal
-scores; an empty table gives an empty result.  Other columns are ignored.
+scores; an empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,20 +21,21 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import exact, slices, written
+from tessera.llm.common import exact, scratch, slices, written
 
-FREQUENT, RARE, SIDE, DIM, HIDDEN = 223, 32, 2, 16, 32
-V = 1 + FREQUENT + RARE  # token 0 stands beyond a document's ends
-RATES, BATCH = (0.01, 0.004), 1536
+FREQUENT, CLASSES, RARE, SIDE, DIM, HIDDEN = 8192, 96, 32, 2, 16, 32
+V, SYMBOLS = 1 + FREQUENT + RARE, CLASSES + RARE  # token 0 stands beyond a document's ends
+RATES, BATCH, PART = (0.01, 0.004), 4096, 2_000_000
 STRIDE = len(RATES)
-#: Weights that one task averages; words that a task counts or keeps before it begins anew.
-FAN_IN, KEPT_WORDS = 64, 300_000
+#: Models that one task averages; words that a task counts or keeps before it begins anew.
+FAN_IN, KEPT_WORDS = 16, 300_000
 #: Words, the most frequent ones, whose log-probabilities within their classes are sent to all tasks; parts of one as whole numbers.
 KNOWN, UNIT = 200_000, 1e-9
 
@@ -88,7 +93,7 @@ def known_scores(scores: DataFrame) -> tuple[dict[bytes, int], int]:
 
 
 def tokens(documents: DataFrame, frequent: list[bytes], known: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids, score, rest, row): a byte for each word, the sum of the ``known`` scores, and all words without one."""
+    """(doc_id, ids, score, rest): two bytes for each word, the sum of the ``known`` scores, and all words without one."""
     vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
     shared = documents.sparkSession.sparkContext.broadcast(known | dict.fromkeys(frequent, 0))
 
@@ -100,24 +105,49 @@ def tokens(documents: DataFrame, frequent: list[bytes], known: dict[bytes, int])
 
         place, scores = Kept(vocabulary), shared.value
         for batch in batches:
-            ids, sums, rest = [], [], []
-            for t in batch["text"]:
-                if len(place) > KEPT_WORDS:
-                    place = Kept(vocabulary)
-                words = pieces(t)
-                ids.append(bytes(map(place.__getitem__, words)))
-                found = list(map(scores.get, words))
-                rest.append([w for w, x in zip(words, found, strict=True) if x is None])
-                sums.append(sum(x for x in found if x))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "score": sums, "rest": rest})
+            texts = batch["text"].tolist()
+            for part in slices(texts, 1_000_000):
+                ids, sums, rest = [], [], []
+                for t in texts[part]:
+                    if len(place) > KEPT_WORDS:
+                        place = Kept(vocabulary)
+                    words = pieces(t)
+                    ids.append(np.fromiter(map(place.__getitem__, words), "<u2", len(words)).tobytes())
+                    found = list(map(scores.get, words))
+                    rest.append([w for w, x in zip(words, found, strict=True) if x is None])
+                    sums.append(sum(x for x in found if x))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "ids": ids, "score": sums, "rest": rest})
 
     rows = documents.select(exact("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(encode, "doc_id decimal(20,0), ids binary, score long, rest array<binary>")
-    return out.withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInPandas(encode, "doc_id decimal(20,0), ids binary, score long, rest array<binary>")
+
+
+def dealt(rows: DataFrame, total: int) -> DataFrame:
+    """The rows with a number ``row``, in parts of about ``PART`` tokens; each part stands in one file, in a fixed order."""
+    n = -(-total // PART) or 1
+    mixed = F.xxhash64("doc_id", "ids")
+    out = rows.withColumn("part", F.pmod(mixed, F.lit(n)).cast("long")).repartition(n, "part").sortWithinPartitions("part", mixed, "doc_id")
+    return written(out.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
 def _shapes() -> dict[str, tuple[int, ...]]:
-    return {"e": (V, DIM), "w1": (2 * SIDE, DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, V), "b2": (V,)}
+    return {"e": (V, DIM), "w1": (2 * SIDE, DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, SYMBOLS), "b2": (SYMBOLS,), "u": (V, HIDDEN), "bu": (V,)}
+
+
+def class_ends(counts: np.ndarray) -> np.ndarray:
+    """The token at which each class of frequent words ends, from counts by token; a class has no words where words are few."""
+    mass = np.cumsum(np.sqrt(counts[1 : 1 + FREQUENT]))
+    if not mass[-1]:
+        return np.full(CLASSES, 1 + FREQUENT)
+    ends = 1 + np.searchsorted(mass, mass[-1] * np.arange(1, CLASSES + 1) / CLASSES, side="left") + 1
+    ends[-1] = 1 + FREQUENT
+    return np.maximum.accumulate(np.minimum(ends, 1 + FREQUENT))
+
+
+def class_of(ends: np.ndarray) -> np.ndarray:
+    """The class of each token."""
+    every = np.arange(V)
+    return np.where(every > FREQUENT, CLASSES + every - 1 - FREQUENT, np.searchsorted(ends, every, side="right")).astype(np.uint8)
 
 
 def pack(p: dict[str, np.ndarray]) -> bytes:
@@ -133,20 +163,23 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def fresh(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Random weights; the output starts at the tokens' frequencies."""
+def fresh(counts: np.ndarray, ends: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Random weights; the outputs start at the frequencies of classes and of words within them."""
     rng = np.random.default_rng(seed)
     p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in _shapes().items()}
     p["w1"] *= 0.5
     p["b1"] *= 0
-    p["b2"] = np.log((counts + 1) / (counts.sum() + V)).astype(np.float32)
+    p["u"] *= 0.1
+    by_class = np.bincount(class_of(ends)[1:], counts[1:], SYMBOLS)
+    p["b2"] = np.log((by_class + 1) / (by_class.sum() + SYMBOLS)).astype(np.float32)
+    p["bu"] = np.log(counts + 1).astype(np.float32)
     return p
 
 
-def contexts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens in a row with ``SIDE`` zeros around each document, the places of the tokens, and their counts."""
-    gap = bytes(SIDE)
-    data = np.frombuffer(gap + b"".join(d + gap for d in docs), np.uint8)
+    gap = np.zeros(SIDE, np.uint16)
+    data = np.concatenate([gap, *[x for d in docs for x in (d, gap)]])
     n = np.fromiter(map(len, docs), np.int64, len(docs))
     begin = SIDE + np.cumsum(n + SIDE) - (n + SIDE)
     return data, np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n), n
@@ -155,16 +188,27 @@ def contexts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def _hidden(p: dict, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    around = data[at[:, None] + _AROUND]
-    x = p["b1"] + sum((p["e"] @ p["w1"][k])[around[:, k]] for k in range(2 * SIDE))
-    return around, np.tanh(x)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
 
+def _by_class(of: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The rows of each class of several words, and its first token and end."""
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(edges)):
+        low, high = int(ends[c - 1]) if c else 1, int(ends[c])
+        if high - low > 1:
+            yield order[edges[c] : edges[c + 1]], low, high
 
-def train(p: dict, batches: Iterator[list[bytes]], rate: float, phase: int) -> int:
+
+def train(p: dict, ends: np.ndarray, batches: Iterator[list[np.ndarray]], rate: float, phase: int) -> int:
     """Adam over masked positions in place; returns how many positions it saw."""
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    one_hot, step, seen = np.eye(V, dtype=np.float32), 0, 0
+    g, kinds, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, class_of(ends), 0, 0
     for docs in batches:
         data, places, n = contexts(docs)
         within = np.arange(len(places)) - np.repeat(np.cumsum(n) - n, n)
@@ -172,88 +216,120 @@ def train(p: dict, batches: Iterator[list[bytes]], rate: float, phase: int) -> i
         order = np.random.default_rng(len(masked)).permutation(masked)
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
-            around, h = _hidden(p, data, at)
-            z = h @ p["w2"] + p["b2"]
-            d = np.exp(z - z.max(axis=1, keepdims=True))
-            d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(len(at)), data[at]] -= 1
-            d /= len(at)
-            dh = (d @ p["w2"].T) * (1 - h * h)
-            g = {"w2": h.T @ d, "b2": d.sum(axis=0), "b1": dh.sum(axis=0), "e": 0, "w1": np.empty_like(p["w1"])}
-            for j in range(2 * SIDE):
-                g["w1"][j] = p["e"][around[:, j]].T @ dh
-                g["e"] = g["e"] + one_hot[around[:, j]].T @ (dh @ p["w1"][j].T)
-            step, seen = step + 1, seen + len(at)
+            around, target, m = data[at[:, None] + _AROUND], data[at], len(at)
+            of = kinds[target]
+            x = p["e"][around].reshape(m, -1)
+            h = np.tanh(x @ p["w1"].reshape(-1, HIDDEN) + p["b1"])
+            d = _softmax(h @ p["w2"] + p["b2"])
+            d[np.arange(m), of] -= 1
+            g["w2"], g["b2"], dh = h.T @ d, d.sum(axis=0), d @ p["w2"].T
+            g["u"][:], g["bu"][:] = 0, 0
+            for rows, low, high in _by_class(of, ends):
+                own = h[rows]
+                d = _softmax(own @ p["u"][low:high].T + p["bu"][low:high])
+                d[np.arange(len(rows)), target[rows].astype(np.int64) - low] -= 1
+                dh[rows] += d @ p["u"][low:high]
+                g["u"][low:high], g["bu"][low:high] = d.T @ own, d.sum(axis=0)
+            dh *= 1 - h * h
+            g["w1"], g["b1"] = (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN), dh.sum(axis=0)
+            dx, to = (dh @ p["w1"].reshape(-1, HIDDEN).T).reshape(-1, DIM), around.ravel()
+            for j in range(DIM):
+                g["e"][:, j] = np.bincount(to, dx[:, j], V)
+            step, seen = step + 1, seen + m
+            scale = np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * rate
             for name, grad in g.items():
-                m, v = moments[name]
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                grad /= m
+                first, second = moments[name]
+                first += 0.1 * (grad - first)
+                second += 0.01 * (grad * grad - second)
+                p[name] -= (scale * first / (np.sqrt(second) + 1e-6)).astype(np.float32)
     return seen
 
 
-def log_probabilities(p: dict, docs: list[bytes], at_once: int = 8192) -> np.ndarray:
+def log_probabilities(p: dict, ends: np.ndarray, docs: list[np.ndarray], at_once: int = 8192) -> np.ndarray:
     """Sum over each document's tokens of the log-probability given both sides."""
     data, places, n = contexts(docs)
+    near, kinds = [p["e"] @ w for w in p["w1"]], class_of(ends)
     each = np.empty(len(places))
     for k in range(0, len(places), at_once):
         at = places[k : k + at_once]
-        _, h = _hidden(p, data, at)
-        z = h @ p["w2"] + p["b2"]
-        z -= z.max(axis=1, keepdims=True)
-        right = z[np.arange(len(at)), data[at]].astype(np.float64)
-        each[k : k + at_once] = right - np.log(np.exp(z, out=z).sum(axis=1))
+        target = data[at]
+        of = kinds[target]
+        h = np.tanh(p["b1"] + sum(x[data[at + j]] for x, j in zip(near, _AROUND, strict=True)))
+        right = _softmax(h @ p["w2"] + p["b2"])[np.arange(len(at)), of]
+        for rows, low, high in _by_class(of, ends):
+            right[rows] *= _softmax(h[rows] @ p["u"][low:high].T + p["bu"][low:high])[np.arange(len(rows)), target[rows].astype(np.int64) - low]
+        each[k : k + at_once] = np.log(np.maximum(right, 1e-30).astype(np.float64))
     sums = np.concatenate([[0.0], np.cumsum(each)])
-    ends = np.cumsum(n)
-    return sums[ends] - sums[ends - n]
+    stop = np.cumsum(n)
+    return sums[stop] - sums[stop - n]
+
+
+def _groups(docs: Iterator[np.ndarray], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+    """Runs of documents of about ``most`` tokens; a longer one is a run of its own."""
+    held, size = [], 0
+    for d in docs:
+        if held and size + len(d) > most:
+            yield held
+            held, size = [], 0
+        held.append(d)
+        size += len(d)
+    if held:
+        yield held
 
 
 def averaged(parts: DataFrame, n: int) -> bytes | None:
-    """The mean of (part, weight, model) rows by weight, ``FAN_IN`` models a task, level by level."""
+    """The mean of (part, weight, model) rows by weight, ``FAN_IN`` models a task, level by level, in the order of the parts."""
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         total, out = 0, 0.0
-        for weight, model in zip(rows["weight"], rows["model"], strict=True):
-            total, out = total + weight, out + weight * np.frombuffer(model, "<f4").astype(np.float64)
+        for row in rows.sort_values("part").itertuples(index=False):
+            total, out = total + row.weight, out + row.weight * np.frombuffer(row.model, "<f4").astype(np.float64)
         return pd.DataFrame({"part": [int(rows["group"].iloc[0])], "weight": [total], "model": [(out / total).astype("<f4").tobytes()]})
 
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         parts = written(parts.withColumn("group", F.pmod("part", F.lit(n))).groupBy("group").applyInPandas(mean, "part long, weight long, model binary"), "models")
     rows = parts.collect()  # FAN_IN models of a fixed size at most
-    return mean(pd.DataFrame([(0, r.weight, bytes(r.model)) for r in rows], columns=["group", "weight", "model"]))["model"][0] if rows else None
+    return mean(pd.DataFrame([(0, r.part, r.weight, bytes(r.model)) for r in rows], columns=["group", "part", "weight", "model"]))["model"][0] if rows else None
 
 
-def fit(ids: DataFrame, counts: np.ndarray) -> dict[str, np.ndarray]:
-    model = pack(fresh(counts))
+def fit(ids: DataFrame, counts: np.ndarray, ends: np.ndarray, n: int) -> bytes:
+    """The packed weights after all rounds over the ``n`` parts."""
+    model = pack(fresh(counts, ends))
     for phase, rate in enumerate(RATES):
 
         def local(batches: Iterator[pd.DataFrame], start: bytes = model, phase: int = phase, rate: float = rate) -> Iterator[pd.DataFrame]:
-            p = unpack(start)
-            lists = ([bytes(x) for x in b["ids"].iloc[k : k + 500]] for b in batches for k in range(0, len(b), 500))
-            if seen := train(p, lists, rate, phase):
-                yield pd.DataFrame({"weight": [seen], "model": [pack(p)]})
+            rows = ((part, x) for b in batches for part, x in zip(b["part"], b["ids"], strict=True))
+            for part, own in groupby(rows, key=lambda r: r[0]):
+                p = unpack(start)
+                if seen := train(p, ends, _groups(np.frombuffer(x, "<u2") for _, x in own), rate, phase):
+                    yield pd.DataFrame({"part": [part], "weight": [seen], "model": [pack(p)]})
 
-        parts = written(ids.select("ids").mapInPandas(local, "weight long, model binary").withColumn("part", F.spark_partition_id().cast("long")), "models")
-        model = averaged(parts, parts.count()) or model
-    return unpack(model)
+        with scratch(ids.sparkSession):
+            parts = written(ids.select("part", "ids").mapInPandas(local, "part long, weight long, model binary"), "models")
+            model = averaged(parts, n) or model
+    return model
 
 
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document."""
     counts = written(word_counts(documents), "word_counts")
     top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    total = counts.agg(F.sum("n")).collect()[0][0] or 0
     frequent = [w for w, _ in top]
     scores, classes = word_scores(counts, frequent)
     known, power = known_scores(scores)
-    ids = written(tokens(documents, frequent, known), "tokens")
+    ids = dealt(tokens(documents, frequent, known), total)
     by_token = np.array([0, *[n for _, n in top], *[0] * (FREQUENT - len(top)), *classes], float)
-    p = fit(ids, by_token)
+    ends = class_ends(by_token)
+    model = documents.sparkSession.sparkContext.broadcast(fit(ids, by_token, ends, -(-total // PART) or 1))  # a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = unpack(model.value)
         for batch in batches:
-            docs = [bytes(x) for x in batch["ids"]]
-            sums = [log_probabilities(p, docs[k : k + 500]) for k in range(0, len(docs), 500)]
+            docs = [np.frombuffer(x, "<u2") for x in batch["ids"]]
+            sums = [log_probabilities(p, ends, part) for part in _groups(iter(docs))]
             n = np.fromiter(map(len, docs), np.int64, len(docs))
             yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_tokens": n, "score": batch["score"], "log_likelihood": np.concatenate(sums) if sums else np.zeros(0)})
 

@@ -5,9 +5,11 @@ A document's set is its distinct 5-word shingles.  Equal sets form one class, wh
 signatures are compared batch by batch, and the pair is pruned once the posterior probability of a similarity of
 ``SIMILAR`` or more falls below ``MISS``; survivors are verified on their full sets.
 
-No bucket is expanded into all its pairs.  First every class meets the first and the last class of each of its
-buckets.  Links join classes into components, and only members of one bucket that are still in different components
-meet each other afterwards: a pair left out then cannot change any component.
+No bucket is expanded into all its pairs.  In each of a few turns every class is compared with one other at most, the
+pivot of most of its buckets; links join classes into components, and turns go on while they link any.  Only members
+of one bucket that are still in different components meet afterwards, block by block: the pivots of a block, none of
+them in their bucket's largest component, meet all such members and leave the bucket.  A pair that never met is in one
+component already, so that no component depends on it.
 
 Edge cases.  Null and empty texts, and texts without words, have empty sets and are linked with nothing, not even each
 other; a null id counts as larger than any other, and a component of null ids only has a null id; rows that repeat an
@@ -25,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, exact, mark, slices, written
+from tessera.llm.common import exact, salted_left_join, scratch, slices, written
 
 SHINGLE, SIMILAR = 5, 0.75
 #: 1 - (1 - 0.75 ** 7) ** 80: a pair at the threshold shares no bucket with probability 1e-5.
 BANDS, ROWS = 80, 7
 #: Minima kept for verification, a byte each; compared so many at a time; least posterior probability of a link.
 KEPT, STEP, MISS = 256, 32, 1e-7
+#: Pairs for each member of a bucket with which the blocks of pivots begin.
+PAIRS = 4
 SETS = "doc_id decimal(20,0), text_key long, class binary, n_shingles long, bands array<long>, signature binary"
 EDGES = "a binary, b binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -169,8 +173,8 @@ def survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(compare, EDGES)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar; the sets are built again from one document of each class."""
+def full_sets(wanted: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(class, shingles) of the ``wanted`` classes, built again from one document of each."""
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Shingles()
@@ -180,6 +184,14 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 sets = [s.tobytes() for s in reader.sets(texts[part])]
                 yield pd.DataFrame({"class": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": sets})
 
+    places = wanted.join(classes.select("class", "stands"), "class").select(F.col("stands.text_key").alias("text_key"), F.col("stands.doc_id").alias("_id")).distinct()
+    texts = _keyed(documents).alias("d").join(places.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p._id")))
+    return texts.select("text").mapInPandas(rebuild, "class binary, shingles binary").dropDuplicates(["class"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -189,12 +201,8 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield batch[["a", "b"]][np.array(keep, bool)]
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "stands"), "class")
-    places = used.select(F.col("stands.text_key").alias("text_key"), F.col("stands.doc_id").alias("_id")).distinct()
-    texts = _keyed(documents).alias("d").join(places.alias("p"), (F.col("d.text_key") == F.col("p.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("p._id")))
-    sets = written(texts.select("text").mapInPandas(rebuild, "class binary, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"x{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInPandas(check, EDGES).distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInPandas(check, EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,7 +211,7 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        kept = both.join(least, "a")
+        kept = salted_left_join(both, least, ["a"], F.col("b"), 8)
         if large:
             return kept.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         down = kept.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -221,35 +229,84 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(down.select(F.col("b").alias("class"), F.col("b").alias("root")).distinct())
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, root) of all linked classes, after further links."""
+    of = lambda x: roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(ends).select(F.col("class").alias("root"), F.col("root").alias("onto"))
+    every = roots.unionByName(joined.join(roots, joined["root"] == roots["class"], "left_anti").select(F.col("root").alias("class"), "root"))
+    return written(every.join(joined, "root", "left").select("class", F.coalesce("onto", "root").alias("root")), "roots")
+
+
+def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, class, root) of the buckets whose members are in several components."""
+    rows = shared.join(roots, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return rows.join(several, "bucket")
+
+
+def one_each(rows: DataFrame, turn: int) -> DataFrame:
+    """A pair a class at most: with the pivot that most of its buckets have this turn, if that is in another component."""
+    least = F.col("class") if not turn else F.xxhash64("class", F.lit(turn))
+    pivots = rows.groupBy("bucket").agg(F.min(F.struct(least.alias("by"), F.col("class").alias("pivot"), F.col("root").alias("onto"))).alias("p")).select("bucket", "p.pivot", "p.onto")
+    met = rows.join(pivots, "bucket").where("root != onto").groupBy("class", "pivot").agg(F.count("*").alias("n"))
+    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot")).alias("best"))
+    return best.select(F.least("class", "best.pivot").alias("a"), F.greatest("class", "best.pivot").alias("b")).distinct()
+
+
+def all_of(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the pivots of each bucket with its members of other components, and the rows that are no pivots.
+
+    All members outside a bucket's largest component are pivots where this makes ``most`` pairs at most, else a share of them.
+    """
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+    largest = written(sizes.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("bucket", F.col("top.root").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
+    share = min(1.0, most / max(1, largest.agg(F.sum("pairs")).collect()[0][0] or 0))
+    chosen = (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("class", F.lit("pivot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    marked = written(rows.join(largest.select("bucket", "top"), "bucket").select("bucket", "class", "root", chosen.alias("pivot")), "marked")
+    x, y = marked.where("pivot").select("bucket", F.col("class").alias("x"), F.col("root").alias("rx")), marked.select("bucket", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("pivot").alias("both"))
+    pairs = x.join(y, "bucket").where("rx != ry AND (NOT both OR x < y)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), marked.where("NOT pivot").select("bucket", "class")
+
+
 def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(class, root) of all classes with a link."""
+    """(class, root, first) of all classes: the component's smallest class, and its smallest document."""
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("stands")
     classes = written(signed_docs.where("n_shingles > 0").groupBy("class").agg(stands, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "class")
     buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    shared = written(members.join(buckets, "bucket"), "shared")
-    ends = F.explode(F.array("low", "high"))
-    pairs = shared.select(F.col("class").alias("x"), ends.alias("y")).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = written(verified(written(survivors(pairs, classes), "survivors"), classes, documents), "edges")
-    apart = shared.join(components(first), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    apart = apart.join(apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "bucket")
-    apart = written(apart, "apart")
-    x, y = (apart.select("bucket", F.col("class").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = verified(written(survivors(rest, classes), "survivors"), classes, documents)
-    return components(first.unionByName(second))
+    shared = written(members.join(buckets.select("bucket"), "bucket"), "shared")
+    met = shared.select("class").distinct()
+    sets = written(full_sets(met, classes, documents), "sets")
+    signatures = written(classes.join(met, "class", "left_semi").select("class", "signature"), "signatures")
+    roots = written(met.limit(0).select("class", F.col("class").alias("root")), "roots")
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        links = written(verified(survivors(pairs, signatures), sets), "links")
+        return links if links.head(1) else None
+
+    turn = 0
+    while (links := linked(one_each(apart(shared, roots), turn))) is not None:  # while a pair a class still links any
+        roots, turn = merged(roots, links), turn + 1
+    rows = written(apart(shared, roots), "apart")
+    most = PAIRS * rows.count()
+    while rows.head(1):  # then all pairs that are left, by blocks of pivots which double
+        pairs, rest = all_of(rows, most)
+        if (links := linked(pairs)) is not None:
+            roots = merged(roots, links)
+        rows, most = written(apart(rest, roots), "apart"), 2 * most
+    of_root = roots.join(classes.select("class", "stands"), "class").groupBy("root").agg(F.min("stands").alias("first"))
+    named = salted_left_join(roots, of_root, ["root"], F.col("class"), 8)
+    return classes.select("class", "stands").join(named, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("first", "stands").alias("first"))
 
 
 def decided(documents: DataFrame) -> DataFrame:
-    """One row a document: set size, component, and whether it is the component's smallest."""
+    """One row a document: set size, component, and the component's smallest document."""
     docs = written(signed(documents), "signed")
-    since = mark()
-    links = written(linked_classes(docs, documents), "links")
-    dropped(documents.sparkSession, since)
-    rows = docs.select("doc_id", "text_key", "n_shingles", "class").join(links, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    with scratch(documents.sparkSession):
+        links = written(linked_classes(docs, documents), "components")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    first = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(own).alias("first"))
-    return rows.join(first, "root", "left").withColumn("first", F.coalesce("first", own))
+    return docs.select("doc_id", "text_key", "n_shingles", "class").join(links, "class", "left").withColumn("first", F.coalesce("first", own))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -259,11 +316,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without near-duplicates of an earlier one, with their own columns; equal rows count as one."""
-    since = mark()
-    rows = decided(documents)
-    own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.text_key") == F.col("text_key"))
-    keep = written(rows.where(own).select(F.col("doc_id").alias("_n_id"), F.col("text_key").alias("_n_key"), (F.col("n_shingles") > 0).alias("_n_some")).distinct(), "kept")
-    dropped(documents.sparkSession, since)
+    with scratch(documents.sparkSession):
+        rows = decided(documents)
+        own = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.text_key") == F.col("text_key"))
+        keep = written(rows.where(own).select(F.col("doc_id").alias("_n_id"), F.col("text_key").alias("_n_key"), (F.col("n_shingles") > 0).alias("_n_some")).distinct(), "kept")
     keyed = documents.withColumn("_n_key0", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = keyed.join(keep, (F.col("_n_key0") == F.col("_n_key")) & exact("doc_id").eqNullSafe(F.col("_n_id")))
     some = out.where("_n_some").dropDuplicates(["_n_key0", "doc_id"])

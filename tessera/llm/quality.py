@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, WORD_GAP, dropped, mark, written
+from tessera.llm.common import SPACE_CHARS, WORD_GAP, scratch, written
 
 #: Statistics of the vector, each with the least standard deviation that an estimate may have.
 FLOORS = {"length": 0.8, "word_length": 0.12, "symbols": 0.35, "dup_lines": 0.35, "repeats": 0.7}
@@ -223,9 +223,8 @@ def beside(df: DataFrame, by_group: DataFrame) -> DataFrame:
 def verdicts(documents: DataFrame) -> DataFrame:
     """One row a document: statistics, base verdict and verdict."""
     table = written(described(documents, ["doc_id"]), "statistics")
-    own = mark()
-    by_group = estimated(table)
-    dropped(documents.sparkSession, own)
+    with scratch(documents.sparkSession):
+        by_group = estimated(table)
     d2 = F.when(~F.col("_q_base_failed"), distance(_columns()))
     out = beside(table, by_group).select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in NAMES], d2.alias("distance2"))
     return out.select("doc_id", *NAMES, F.coalesce(F.col("distance2") <= CUTOFF, F.lit(False)).alias("kept"), "distance2")
@@ -237,9 +236,8 @@ def kept_documents(documents: DataFrame) -> DataFrame:
     Texts are read and described twice, once for the estimates and once for the verdicts, rather than written beside them.
     The verdict is one expression, in which each text is described once.
     """
-    since = mark()
-    by_group = estimated(written(described(documents, []), "statistics"))
-    dropped(documents.sparkSession, since)
+    with scratch(documents.sparkSession):
+        by_group = estimated(written(described(documents, []), "statistics"))
     near = lambda s: _let(F.array(*vector(s)), lambda x: distance([F.get(x, F.lit(i)) for i in range(P)]) <= CUTOFF)
     kept = _let(statistics(), lambda s: ~s["base_failed"] & near(s))
     out = documents.withColumns({"_q_lang": _key("lang"), "_q_source": _key("source")})

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import masked_lm, quality_cnn, toxicity
 from tessera.llm.common import slices
@@ -159,6 +160,7 @@ def test_language_model_prefers_order(spark):
 def test_language_model_scores_each_word_within_its_class(spark, monkeypatch, known):
     """Word scores against a count in Python; a rare word scores below a common one of its class in the same place."""
     monkeypatch.setattr(masked_lm, "KNOWN", known)
+    small_vocabulary(monkeypatch, 223, 31)
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(700)]
     rows = [(i, " ".join(rng.choices(vocabulary, range(1, 701), k=60)), "x", "en") for i in range(80)]
@@ -171,7 +173,7 @@ def test_language_model_scores_each_word_within_its_class(spark, monkeypatch, kn
             inside[zlib.crc32(w[-3:]) % masked_lm.RARE].append(n)
     log = lambda w: 0 if w in frequent else math.log((counts[w] + 1) / (sum(x := inside[zlib.crc32(w[-3:]) % masked_lm.RARE]) + len(x) + 1))
     with monkeypatch.context() as m:
-        m.setattr(masked_lm, "log_probabilities", lambda p, docs: np.zeros(len(docs)))
+        m.setattr(masked_lm, "log_probabilities", lambda p, ends, docs: np.zeros(len(docs)))
         df = spark.createDataFrame(rows, DOCS).repartition(3)
         got = {r.doc_id: r.log_likelihood for r in masked_lm.scored(df).collect()}
     assert len(inside) > 10 and len(got) == len(rows)
@@ -180,29 +182,86 @@ def test_language_model_scores_each_word_within_its_class(spark, monkeypatch, kn
     assert got[900] < got[901] - 0.5
 
 
-def test_language_model_sums_all_tokens():
-    """Vectorised sums against one token at a time."""
-    p = masked_lm.fresh(np.arange(masked_lm.V, dtype=float))
-    docs = [b"", bytes([5, 9, 77]), bytes([1]), bytes(range(1, 100))]
-    got = masked_lm.log_probabilities(p, docs, at_once=7)
-    for doc, sum_ in zip(docs, got):
-        padded = [0, 0, *doc, 0, 0]
-        total = 0.0
-        for i in range(2, len(padded) - 2):
-            around = [padded[i - 2], padded[i - 1], padded[i + 1], padded[i + 2]]
-            h = np.tanh(p["b1"] + sum(p["e"][t] @ p["w1"][k] for k, t in enumerate(around)))
-            z = h @ p["w2"] + p["b2"]
-            total += z[padded[i]] - np.log(np.exp(z - z.max()).sum()) - z.max()
-        assert abs(total - sum_) < 1e-3 * max(1, abs(total))
+def small_vocabulary(monkeypatch, frequent, classes):
+    for name, value in (("FREQUENT", frequent), ("CLASSES", classes), ("V", 1 + frequent + masked_lm.RARE), ("SYMBOLS", classes + masked_lm.RARE)):
+        monkeypatch.setattr(masked_lm, name, value)
+
+
+def random_model(seed=1):
+    rng = np.random.default_rng(seed)
+    counts = np.sort(rng.integers(1, 90, masked_lm.V)).astype(float)[::-1].copy()
+    ends = masked_lm.class_ends(counts)
+    return {k: v.astype(np.float64) for k, v in masked_lm.fresh(counts, ends).items()}, ends
+
+
+def plain_log_probability(p, ends, doc, i):
+    """One token's log-probability, without batches."""
+    padded = [0, 0, *map(int, doc), 0, 0]
+    around = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
+    h = np.tanh(p["b1"] + sum(p["e"][t] @ p["w1"][k] for k, t in enumerate(around)))
+    log_softmax = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    t = int(doc[i])
+    if t > masked_lm.FREQUENT:
+        return log_softmax(h @ p["w2"] + p["b2"])[masked_lm.CLASSES + t - 1 - masked_lm.FREQUENT]
+    c = next(c for c, end in enumerate(ends) if t < end)
+    low = ends[c - 1] if c else 1
+    inside = log_softmax(p["u"][low : ends[c]] @ h + p["bu"][low : ends[c]])[t - low]
+    return log_softmax(h @ p["w2"] + p["b2"])[c] + inside
+
+
+def test_language_model_sums_all_tokens(monkeypatch):
+    """Vectorised sums against one token at a time, over classes of one word, of several and of rare words."""
+    small_vocabulary(monkeypatch, 60, 9)
+    p, ends = random_model()
+    docs = [np.array(d, np.uint16) for d in ([], [5, 9, 77], [1], list(range(1, masked_lm.V)) * 2)]
+    got = masked_lm.log_probabilities(p, ends, docs, at_once=7)
+    for doc, total in zip(docs, got):
+        assert abs(total - sum(plain_log_probability(p, ends, doc, i) for i in range(len(doc)))) < 1e-3 * max(1, abs(total))
+
+
+def test_language_model_probabilities_sum_to_one(monkeypatch):
+    small_vocabulary(monkeypatch, 60, 9)
+    p, ends = random_model(2)
+    total = sum(math.exp(plain_log_probability(p, ends, [7, t, 9], 1)) for t in range(1, masked_lm.V))
+    assert abs(total - 1) < 1e-6
+
+
+def test_gradients_of_the_language_model(monkeypatch):
+    """The first step of training against numeric gradients: Adam's first moment is a tenth of the gradient."""
+    small_vocabulary(monkeypatch, 60, 9)
+    p, ends = random_model(3)
+    doc = np.array([3, 50, 9, 70, 60, 1, 2, 3], np.uint16)
+    loss = lambda: -sum(plain_log_probability(p, ends, doc, i) for i in range(0, len(doc), 2)) / 4
+    numeric = {(n, at): _numeric(loss, p, n, at) for n, at in (("e", (50, 3)), ("w1", (1, 2, 5)), ("b1", 4), ("w2", (6, 2)), ("b2", 8), ("u", (60, 1)), ("bu", 60), ("bu", 9))}
+    q = {k: v.copy() for k, v in p.items()}
+    zeros = np.zeros_like
+    made = []
+    monkeypatch.setattr(masked_lm.np, "zeros_like", lambda x: made.append(zeros(x)) or made[-1])
+    masked_lm.train(q, ends, iter([[doc]]), 1e-9, 0)
+    monkeypatch.setattr(masked_lm.np, "zeros_like", zeros)
+    first = dict(zip(q, made[0 : 2 * len(q) : 2]))
+    for (name, at), value in numeric.items():
+        assert abs(first[name][at] * 10 - value) < 2e-3 * max(1, abs(value)), name
 
 
 def test_language_model_is_trained_on_every_position(monkeypatch):
-    docs = [b"", bytes([5]), bytes([5, 9, 77]), bytes(range(1, 100)) * 20]
-    seen, hidden = [], masked_lm._hidden
-    monkeypatch.setattr(masked_lm, "_hidden", lambda p, data, at: seen.extend(at.tolist()) or hidden(p, data, at))
-    p = masked_lm.fresh(np.ones(masked_lm.V))
-    total = sum(masked_lm.train(p, iter([docs]), rate, phase) for phase, rate in enumerate(masked_lm.RATES))
-    assert total == sum(map(len, docs)) and sorted(seen) == masked_lm.contexts(docs)[1].tolist()
+    small_vocabulary(monkeypatch, 60, 9)
+    p, ends = random_model()
+    docs = [np.array(d, np.uint16) for d in ([], [5], [5, 9, 77], list(range(1, 90)) * 20)]
+    seen, kinds = [], masked_lm._by_class
+    monkeypatch.setattr(masked_lm, "_by_class", lambda of, ends: seen.append(len(of)) or kinds(of, ends))
+    total = sum(masked_lm.train(p, ends, iter([docs]), rate, phase) for phase, rate in enumerate(masked_lm.RATES))
+    assert total == sum(map(len, docs)) == sum(seen)
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "PART", 900)
+    small_vocabulary(monkeypatch, 100, 12)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", range(1, 27), k=rng.randint(0, 90))), "x", "en") for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"n_tokens": F.lit("own"), "log_likelihood": F.lit("own")})
+    score = lambda d: sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 6)) for r in masked_lm.scored(d).collect())
+    assert score(df.repartition(2)) == score(df.repartition(7, "text"))
 
 
 def test_models_average_in_a_tree(spark, monkeypatch):
