@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new shared folder for files that tasks write; it goes with the tables of the open ``scratch``."""
+    path = shared_dir(spark, name)
+    if (own := _OPEN.get()) is not None:
+        own.append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables written inside, when it ends, but the last: that holds all that is still wanted of them."""

@@ -4,15 +4,19 @@ Each window of ``LENGTH`` bytes owns an anchor: the ``SEED`` bytes within it who
 Equal windows own equal anchors at equal offsets.  So windows are dealt out by anchor, and within an anchor's
 collection only suffixes that begin in the same column, counted from the anchor, can share ``LENGTH`` bytes.
 
-A collection is the runs of windows of all documents around one anchor.  It is built column by column, from right
-to left: each round inserts one symbol of each run in front of its suffix, and updates the collection's suffix order
-(the permutation whose symbols are the round's column of the Burrows-Wheeler transform) by a stable sort on that
-symbol, and the common prefixes of neighbours by range minima.  A round reads one column and the last round's order,
-in sequence, and nothing else; many collections advance together.  Where a neighbour shares ``LENGTH`` symbols, the
-window that begins in this column is repeated.
-
-Equal texts, and equal runs of an anchor, are counted and sorted once.  An anchor with over ``HOT`` different runs
-is not gathered: its windows are counted by a 128-bit hash instead.
+A collection is the runs of windows of all documents around some anchors.  It is built column by column, from right
+to left: each round inserts one symbol of each run in front of its suffix, in the place that the last round's
+Burrows-Wheeler transform gives it (a stable sort of the transform's symbols within the anchor), and updates the common
+prefixes of neighbours by range minima.  A round reads one column and the last round's state, in sequence, and nothing
+else.  From the column on in which windows can begin, each round is appended to the collection's file in the shared
+folder: suffix order, transform and common prefixes.  A second job reads these files in sequence; where a neighbour
+shares ``LENGTH`` symbols, the window that begins in this column is repeated.  All that is removed is found there, but
+for texts that stand twice as a whole.
+
+Equal texts are one text, and equal runs of an anchor one run that stands twice in its collection, so that its
+neighbour shares it.  The runs of an anchor with over ``HOT`` different ones are cut at fixed columns into runs of at
+most ``WIDTHS`` windows, which are dealt by the bytes that all windows of a cut share; at one window these are the
+window itself.  So no anchor's runs all meet in one task, and none is left out.
 
 Edge cases.  A null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows that repeat a text, with
 equal or null ids too, repeat each other; an empty table gives an empty result.  Other columns are ignored.
@@ -21,24 +25,31 @@ equal or null ids too, repeat each other; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import exact, salted_left_join, written
+from tessera.llm.common import exact, filesystem, scratch, scratch_dir, written
 
 LENGTH, SEED = 400, 64
 SPAN = LENGTH - SEED + 1  # places of an anchor within a window
 COLUMNS = SPAN - 1 + LENGTH
-HOT = 50_000
+#: Different runs of an anchor up to which they are one group; windows of a cut of larger ones, in turn.
+HOT, WIDTHS = 500, (48, 1)
 #: Bytes that a task hashes at a time, and runs that it sorts at a time.
 PIECE, ROWS = 1 << 20, 8192
 END = 255  # a byte that UTF-8 never has
 _BASE = 0x9E3779B97F4A7C15 | 1
 RUNS = "key string, start int, n int, left int, anchor long, run binary"
+KINDS = "anchor long, run binary, left int, data binary, twice boolean"
+MARKS = "anchor long, run binary, low int, high int"
+#: A round of a collection: the suffix order, the transform's symbols and the prefix shared with the neighbour before.
+ROUND = pa.schema([("order", pa.uint32()), ("bwt", pa.uint8()), ("shared", pa.uint16())])
 
 
 class Anchors:
@@ -115,8 +126,8 @@ def found_runs(documents: DataFrame) -> DataFrame:
     return _keyed(documents).where(F.octet_length("text") >= LENGTH).select("key", "text").mapInPandas(make, RUNS)
 
 
-def repeated(anchors: np.ndarray, left: np.ndarray, runs: list[bytes]) -> np.ndarray:
-    """(rows, SPAN) marks of columns whose window is repeated in another run of the same anchor; equal anchors are adjacent."""
+def built(sink: pa.NativeFile, anchors: np.ndarray, left: np.ndarray, runs: list[bytes]) -> None:
+    """Builds a collection and appends its rounds to ``sink``, a batch a column; equal anchors are adjacent."""
     rows = len(runs)
     table = np.full((rows, COLUMNS), END, np.uint8)
     for i, (a, run) in enumerate(zip(left.tolist(), runs, strict=True)):
@@ -125,112 +136,159 @@ def repeated(anchors: np.ndarray, left: np.ndarray, runs: list[bytes]) -> np.nda
     begins = np.concatenate([[True], anchors[1:] != anchors[:-1]])
     block = np.cumsum(begins).astype(np.int64) << 8
     order, shared = np.arange(rows), np.zeros(rows + 1, np.int32)  # shared[i]: of rows order[i - 1] and order[i]
+    bwt = table[COLUMNS - 1]  # what stands before the suffixes, in their order
+    with pa.ipc.new_stream(sink, ROUND, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        for column in range(COLUMNS - 1, -1, -1):
+            key = block + bwt
+            moved = (key[1:] < key[:-1]).any()
+            if moved:
+                step = np.argsort(key, kind="stable")
+                key, order = key[step], order[step]
+            same = np.concatenate([[False], (key[1:] == key[:-1]) & (key[1:] & 255 != END)])
+            least = shared[:-1]
+            if moved:
+                least = least.copy()
+                pair = np.flatnonzero(same)
+                p, q = step[pair - 1], step[pair]
+                near = q - p == 1
+                least[pair[near]] = shared[q[near]]
+                far = ~near
+                if far.any():
+                    ends = np.stack([p[far] + 1, q[far] + 1], axis=1).ravel()
+                    least[pair[far]] = np.minimum.reduceat(shared, ends)[::2]
+            shared[:-1] = np.where(same, least + 1, 0)
+            bwt = table[column - 1][order] if column else np.full(rows, END, np.uint8)
+            if column < SPAN:
+                arrays = [pa.array(order.astype(np.uint32)), pa.array(bwt), pa.array(shared[:-1].astype(np.uint16))]
+                file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=ROUND))
+
+
+def repeated(source: pa.NativeFile, rows: int) -> np.ndarray:
+    """(rows, SPAN) marks of columns whose window a neighbour in the suffix order shares, from a collection's file."""
     out = np.zeros((SPAN, rows), bool)
-    for column in range(COLUMNS - 1, -1, -1):
-        key = block + table[column][order]
-        moved = (key[1:] < key[:-1]).any()
-        if moved:
-            step = np.argsort(key, kind="stable")
-            key, order = key[step], order[step]
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (key[1:] & 255 != END)])
-        least = shared[:-1]
-        if moved:
-            least = least.copy()
-            pair = np.flatnonzero(same)
-            p, q = step[pair - 1], step[pair]
-            near = q - p == 1
-            least[pair[near]] = shared[q[near]]
-            far = ~near
-            if far.any():
-                ends = np.stack([p[far] + 1, q[far] + 1], axis=1).ravel()
-                least[pair[far]] = np.minimum.reduceat(shared, ends)[::2]
-        shared[:-1] = np.where(same, least + 1, 0)
-        if column < SPAN:
-            long = shared >= LENGTH
+    with pa.ipc.open_stream(source) as file:
+        for column, batch in zip(range(SPAN - 1, -1, -1), file, strict=True):
+            order, shared = batch.column("order").to_numpy(), batch.column("shared").to_numpy()
+            long = np.append(shared >= LENGTH, False)
             if long.any():
                 out[column, order] = long[:-1] | long[1:]
     return out.T
 
 
 def marked(runs: DataFrame) -> DataFrame:
-    """Ranges of repeated windows [from, to) of each run; all runs of an anchor meet in one task, at most HOT."""
-
-    def ranges(rows: list) -> pd.DataFrame:
-        rows = [r for i, r in enumerate(rows) if not i or (r.anchor, r.run) != (rows[i - 1].anchor, rows[i - 1].run)]
-        marks = repeated(np.array([r.anchor for r in rows]), np.array([r.left for r in rows]), [r.data for r in rows])
-        change = np.diff(marks.astype(np.int8), axis=1, prepend=0, append=0)
-        (i, a), (_, b) = np.nonzero(change == 1), np.nonzero(change == -1)
-        begin = np.array([SPAN - 1 - r.left for r in rows], np.int64)[i]
-        return pd.DataFrame({"anchor": [rows[k].anchor for k in i], "run": [rows[k].run for k in i], "low": (a - begin).astype(np.int32), "high": (b - begin).astype(np.int32)})
+    """Ranges of repeated windows [from, to) of each run of (anchor, run, left, data, twice).
+
+    Tasks build collections of whole anchors, about ``ROWS`` runs each, and write their files; others read them.
+    """
+    folder = scratch_dir(runs.sparkSession, "collections")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def collection(rows: list) -> pd.DataFrame:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            each = [k for k, r in enumerate(rows) for _ in range(1 + r.twice)]
+            fs, at = filesystem(path)
+            fs.create_dir(at.rpartition("/")[0])
+            with fs.open_output_stream(at) as sink:
+                built(sink, np.array([rows[k].anchor for k in each]), np.array([rows[k].left for k in each]), [rows[k].data for k in each])
+            once = np.concatenate([[0], np.cumsum([1 + r.twice for r in rows])[:-1]])
+            return pd.DataFrame({"path": [path], "n": [len(each)], "rows": [[{"anchor": r.anchor, "run": r.run, "left": r.left, "at": a} for r, a in zip(rows, once.tolist(), strict=True)]]})
 
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if len(held) >= ROWS and row.anchor != held[-1].anchor:
-                    yield ranges(held)
+                    yield collection(held)
                     held = []
                 held.append(row)
         if held:
-            yield ranges(held)
+            yield collection(held)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, n, rows in zip(batch["path"], batch["n"], batch["rows"], strict=True):
+                fs, at = filesystem(path)
+                with fs.open_input_stream(at) as source:
+                    marks = repeated(source, n)[[r["at"] for r in rows]]
+                change = np.diff(marks.astype(np.int8), axis=1, prepend=0, append=0)
+                (i, a), (_, b) = np.nonzero(change == 1), np.nonzero(change == -1)
+                begin = np.array([SPAN - 1 - r["left"] for r in rows], np.int64)[i]
+                yield pd.DataFrame({"anchor": [rows[k]["anchor"] for k in i], "run": [rows[k]["run"] for k in i], "low": (a - begin).astype(np.int32), "high": (b - begin).astype(np.int32)})
 
     dealt = runs.repartition("anchor").sortWithinPartitions("anchor", "run")
-    return dealt.mapInPandas(sort, "anchor long, run binary, low int, high int")
+    files = written(dealt.mapInPandas(build, "path string, n int, rows array<struct<anchor:long,run:binary,left:int,at:int>>"), "collections")  # those of tasks that ended
+    return files.repartition("path").mapInPandas(read, MARKS)
 
 
 def _bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, run, left, data) of runs that are wanted from a text: wanted has key, start, n, left, anchor, run."""
+    """(anchor, run, left, data, twice) of runs that are wanted from a text: wanted has key, start, n, left, anchor, run, twice."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, runs in zip(batch["text"], batch["runs"], strict=True):
                 data = text.encode()
-                out = [(r["anchor"], r["run"], r["left"], data[r["start"] : r["start"] + r["n"] - 1 + LENGTH]) for r in runs]
-                yield pd.DataFrame(out, columns=["anchor", "run", "left", "data"])
+                out = [(r["anchor"], r["run"], r["left"], data[r["start"] : r["start"] + r["n"] - 1 + LENGTH], r["twice"]) for r in runs]
+                yield pd.DataFrame(out, columns=["anchor", "run", "left", "data", "twice"])
 
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "left", "anchor", "run")).alias("runs"))  # of one text
-    return texts.join(lists, "key").select("text", "runs").mapInPandas(make, "anchor long, run binary, left int, data binary")
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "left", "anchor", "run", "twice")).alias("runs"))  # of one text
+    return texts.join(lists, "key").select("text", "runs").mapInPandas(make, KINDS)
 
 
-def _hot_spans(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """(key, low, high) bytes of repeated windows of anchors with too many runs: counted by hash, not gathered."""
+def _cut(runs: DataFrame, width: int) -> DataFrame:
+    """The runs cut at multiples of ``width`` columns, dealt by the bytes of a cut's common part; ``of`` and ``offset`` lead back."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = lambda x, n: hashlib.blake2b(x, digest_size=n, salt=width.to_bytes(4, "little")).digest()
         for batch in batches:
-            for key, text, own in zip(batch["key"], batch["text"], batch["runs"], strict=True):
-                data = text.encode()
-                at = [(i, r["m"]) for r in own for i in range(r["start"], r["start"] + r["n"])]
-                yield pd.DataFrame([(key, i, m, hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest()) for i, m in at], columns=["key", "at", "m", "window"])
-
-    lists = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n", "m")).alias("runs"))  # of one text
-    windows = written(texts.join(lists, "key").select("key", "text", "runs").mapInPandas(make, "key string, at int, m long, window binary"), "windows")
-    again = windows.groupBy("window").agg(F.sum("m").alias("c")).where("c > 1").select("window", F.lit(True).alias("again"))
-    return salted_left_join(windows, again, ["window"], F.struct("key", "at"), 8).where("again").select("key", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high"))
+            rows = []
+            for r in batch.itertuples(index=False):
+                first, n = SPAN - 1 - r.left, len(r.data) - LENGTH + 1
+                for k in range(first // width, (first + n - 1) // width + 1):
+                    low, high = max(first, k * width), min(first + n, (k + 1) * width)
+                    core = r.data[(k + 1) * width - 1 - first : k * width + LENGTH - first]
+                    data = r.data[low - first : high - 1 + LENGTH - first]
+                    key = int.from_bytes(digest(r.anchor.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little") + core, 8), "little", signed=True)
+                    rows.append((key, digest(low.to_bytes(4, "little") + data, 16), SPAN - 1 - low, data, r.twice, r.anchor, r.run, low - first))
+            yield pd.DataFrame(rows, columns=["anchor", "run", "left", "data", "twice", "of_anchor", "of_run", "offset"])
+
+    return runs.select("anchor", "run", "left", "data", "twice").mapInPandas(make, f"{KINDS}, of_anchor long, of_run binary, offset int")
+
+
+def found_marks(kinds: DataFrame, width: int = 0) -> DataFrame:
+    """Ranges of repeated windows of different runs (anchor, run, left, data, twice); ``width`` counts the cuts so far."""
+    counts = written(kinds.groupBy("anchor").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > HOT).select("anchor"), "hot")
+    if width == len(WIDTHS) or not counts.head(1):
+        return marked(kinds)
+    parts = written(_cut(kinds.join(counts, "anchor"), WIDTHS[width]), "cuts")
+    first = parts.groupBy("anchor", "run").agg(F.first("left").alias("left"), F.first("data").alias("data"), (F.max("twice").cast("boolean") | (F.count("*") > 1)).alias("twice"))
+    marks = written(found_marks(written(first.select(*kinds.columns), "kinds"), width + 1), "marks")
+    back = parts.select("anchor", "run", "of_anchor", "of_run", "offset").join(marks, ["anchor", "run"])
+    return marked(kinds.join(counts, "anchor", "left_anti")).unionByName(back.select(F.col("of_anchor").alias("anchor"), F.col("of_run").alias("run"), (F.col("low") + F.col("offset")).alias("low"), (F.col("high") + F.col("offset")).alias("high")))
+
+
+def _spans(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, low, high) bytes that repeated windows cover; ranges of one run may touch or overlap."""
+    at = F.min(F.struct("key", "start", "n", "left")).alias("at")
+    kinds = shared.groupBy("anchor", "run").agg((F.count("*") > 1).alias("twice"), at).select("anchor", "run", "at.*", "twice")
+    marks = found_marks(written(_bytes(texts, kinds), "kinds"))
+    ranges = written(marks.groupBy("anchor", "run").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")  # of at most SPAN windows
+    spans = shared.join(ranges, ["anchor", "run"]).select("key", "start", F.explode("ranges").alias("r"))
+    return spans.select("key", (F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high") - 1 + LENGTH).alias("high"))
 
 
-def removed(documents: DataFrame) -> DataFrame:
-    """One row a document: what is removed, and the SHA-256 of what is left."""
+def _cuts(docs: DataFrame, documents: DataFrame) -> DataFrame:
+    """What each text loses that loses anything: key, n_removed, n_spans, SHA-256 of what is left."""
     keyed = _keyed(documents)
-    docs = written(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "texts")
-    found = written(found_runs(documents), "runs")
-    # Equal texts are one text that counts m times.
-    runs = found.groupBy("key", "start", "n", "left", "anchor", "run").agg(F.count("*").alias("m"))
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("run") != F.max("run")).alias("mixed")).where("c > 1").drop("c")
-    shared = written(salted_left_join(runs, anchors, ["anchor"], F.struct("key", "start"), 8).where("mixed IS NOT NULL"), "shared")
-    at = F.min(F.struct("key", "start", "n", "left")).alias("at")
-    kinds = written(shared.groupBy("anchor", "run", "mixed").agg(F.sum("m").alias("c"), at), "kinds")
-    several = kinds.where("mixed")
-    hot = written(several.groupBy("anchor").agg(F.count("*").alias("n_runs")).where(F.col("n_runs") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
-    one = docs.groupBy("key").agg(F.min("doc_id").alias("_id"))
-    used = shared.select("key").distinct().join(one, "key").withColumnRenamed("key", "_key")
-    texts = written(keyed.join(used, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text"), "used")
-    wanted = several.join(hot, "anchor", "left_anti").select("anchor", "run", "at.*")
-    whole = kinds.where("c > 1").select("anchor", "run", F.lit(0).alias("low"), F.col("at.n").alias("high"))
-    marks = whole.unionByName(marked(_bytes(texts, wanted)).join(kinds.where("c > 1"), ["anchor", "run"], "left_anti"))
-    ranges = marks.groupBy("anchor", "run").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # of at most SPAN windows
-    spans = salted_left_join(shared, ranges, ["anchor", "run"], F.struct("key", "start"), 8).where("ranges IS NOT NULL")
-    spans = spans.select("key", "start", F.explode("ranges").alias("r")).select("key", (F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high") - 1 + LENGTH).alias("high"))
-    spans = spans.unionByName(_hot_spans(texts, shared.where("mixed").join(hot, "anchor", "left_semi")))
+    # Equal texts are one text; what stands twice as a whole goes as a whole.
+    runs = written(found_runs(documents), "runs").groupBy("key", "start", "n", "left", "anchor", "run").agg(F.count("*").alias("m"))
+    runs = written(runs.drop("m"), "runs")
+    anchors = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = written(runs.join(anchors, "anchor"), "shared")
+    one = docs.groupBy("key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("m"), F.first("n_bytes").alias("size"))
+    whole = one.where(f"m > 1 AND size >= {LENGTH}").select("key", F.lit(0).alias("low"), F.col("size").cast("int").alias("high"))
+    used = shared.select("key").unionByName(whole.select("key")).distinct().join(one, "key").select(F.col("key").alias("_key"), "_id")
+    texts = keyed.join(used, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text")
+    texts = written(texts, "used")
+    spans = _spans(texts, shared).unionByName(whole)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,7 +307,15 @@ def removed(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "left"])
 
     of_text = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # of one text
-    cuts = texts.join(of_text, "key").select("key", "text", "spans").mapInPandas(cut, "key string, n_removed long, n_spans long, left string").dropDuplicates(["key"])
-    out = salted_left_join(docs, cuts, ["key"], F.col("doc_id"), 8)
+    return texts.join(of_text, "key").select("key", "text", "spans").mapInPandas(cut, "key string, n_removed long, n_spans long, left string").dropDuplicates(["key"])
+
+
+def removed(documents: DataFrame) -> DataFrame:
+    """One row a document: what is removed, and the SHA-256 of what is left."""
+    keyed = _keyed(documents)
+    docs = written(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "texts")
+    with scratch(documents.sparkSession):
+        cuts = written(_cuts(docs, documents), "cuts")
+    out = docs.join(cuts, "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("left", "whole").alias("kept_sha256"))

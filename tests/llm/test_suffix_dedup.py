@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffix_dedup
@@ -56,8 +58,10 @@ def test_against_brute_force(spark):
     check(spark, rows + [(3, rows[3][1]), (None, rows[8][1]), (None, rows[8][1]), (None, "z" * 401)])
 
 
-def test_hot_anchors_and_short_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("widths", [(48, 1), (337,), (5,)])
+def test_hot_anchors_and_short_pieces(spark, monkeypatch, widths):
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", widths)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     monkeypatch.setattr(suffix_dedup, "ROWS", 4)
     check(spark, list(enumerate(texts())))
@@ -81,9 +85,31 @@ def test_sorting_columns(seed):
         left = rng.randint(0, span - 1)
         n = rng.randint(1, left + 1)
         rows.append((left, n, bytes(run[span - 1 - left : span - 1 - left + n - 1 + size])))
-    import numpy as np
-
-    got = suffix_dedup.repeated(np.zeros(12, int), np.array([r[0] for r in rows]), [r[2] for r in rows])
+    sink = pa.BufferOutputStream()
+    suffix_dedup.built(sink, np.zeros(12, int), np.array([r[0] for r in rows]), [r[2] for r in rows])
+    file = sink.getvalue()
+    got = suffix_dedup.repeated(pa.BufferReader(file), 12)
     at = [{span - 1 - left + i: run[i : i + size] for i in range(n)} for left, n, run in rows]
     expect = [[c in own and any(own[c] == o.get(c) for j, o in enumerate(at) if j != i) for c in range(span)] for i, own in enumerate(at)]
     assert got.tolist() == expect
+    # The rounds in the file: suffixes in order, what stands before them, and what neighbours share.
+    padded = [bytes([suffix_dedup.END]) * (span - 1 - left) + run + bytes([suffix_dedup.END]) * suffix_dedup.COLUMNS for left, _, run in rows]
+    for column, batch in zip(range(span - 1, -1, -1), pa.ipc.open_stream(file)):
+        suffix = [p[column : suffix_dedup.COLUMNS] for p in padded]
+        order = batch["order"].to_pylist()
+        assert [suffix[i] for i in order] == sorted(suffix)
+        assert batch["bwt"].to_pylist() == [padded[i][column - 1] if column else suffix_dedup.END for i in order]
+        for before, i, n in zip(order, order[1:], batch["shared"].to_pylist()[1:]):
+            common = next((k for k, (x, y) in enumerate(zip(suffix[before], suffix[i])) if x != y or x == suffix_dedup.END), len(suffix[i]))
+            assert n == common
+
+
+def test_real_sizes(spark):
+    """A text of several pieces whose middle another one repeats, and more runs of one anchor than ``HOT``."""
+    rng = random.Random(11)
+    long = "".join(rng.choices("abcdefgh ", k=suffix_dedup.PIECE + 5000))
+    passage = "".join(rng.choices("xyz ", k=380))
+    rows = [(0, long), (1, "q" * 50 + long[suffix_dedup.PIECE - 700 : suffix_dedup.PIECE + 300]), (2, long[:600])]
+    rows += [(i, "".join(rng.choices("mnop", k=60)) + passage + "".join(rng.choices("mnop", k=60))) for i in range(3, 700)]
+    rows += [(i, rows[i - 400][1][40:] + "end") for i in range(700, 760)]
+    check(spark, rows)
