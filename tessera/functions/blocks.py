@@ -1,4 +1,4 @@
-"""Compressed blocks and raw-byte hashes, for binary columns: Arrow-batched, since Spark has no such expressions.
+"""Compressed blocks, for binary columns: Arrow-batched, since Spark has no such expressions.
 
 A block has a 9-byte header: two letters of the algorithm, a method byte, and the compressed and plain sizes in 3
 bytes each, low byte first; a value is a run of blocks.  Values under ``LEAST`` bytes, and values that do not shrink,
@@ -99,13 +99,3 @@ def decompress(column: Column, size: Column) -> Column:
         return pd.Series([None if v is None else decompress_bytes(bytes(v), int(n)) for v, n in zip(values, sizes, strict=True)])
 
     return run(column, size)
-
-
-def xxhash64_raw(column: Column) -> Column:
-    """xxHash64 of a binary column's bytes with seed 0, as hex; Spark's own function hashes typed values with seed 42."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else xxhash.xxh64_hexdigest(bytes(v), seed=0))
-
-    return run(column)

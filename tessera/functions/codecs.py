@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -31,44 +32,92 @@ def through_float(x: Column) -> Column:
     return x.cast("float").cast("double")
 
 
-def truncated_float(x: Column, bits: int = 12) -> Column:
-    """A float kept with ``bits`` mantissa bits, rounded to nearest: an exponent and a short mantissa."""
-    size = F.floor(F.log2(F.abs(x)))
-    step = F.pow(F.lit(2.0), size - bits)
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.floor(F.abs(x) / step + 0.5) * step * F.signum(x)).cast("float")
+def short_float(x: Column, bits: int = 12) -> Column:
+    """The stored code of a float without a range: 8 bits of exponent, a sign bit, and ``bits`` bits of mantissa.
 
+    The mantissa is rounded to nearest, and cut to its largest value where rounding would carry into the exponent.
+    Codes are ``exponent * 65536 + sign and mantissa``; null stays null.
+    """
+    a = F.abs(x.cast("float").cast("double"))
+    guess = F.floor(F.log2(F.greatest(a, F.lit(2.0**-126)))).cast("int")
+    two = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(two(guess) > a, guess - 1).when(two(guess + 1) <= a, guess + 1).otherwise(guess)
+    tiny = a < 2.0**-126  # kept without the leading bit
+    whole = F.floor(a / two(F.when(tiny, F.lit(-126)).otherwise(e) - bits) + 0.5).cast("long")
+    mantissa = F.least(whole - F.when(tiny, 0).otherwise(1 << bits), F.lit((1 << bits) - 1))
+    sign = F.when(x < 0, 1 << (bits + 1)).otherwise(0)
+    return (F.when(tiny, 0).otherwise(e + 127) * 65536 + sign + mantissa).cast("long")
 
-_PI = {"pi": 1.0, "twopi": 2.0, "2pi": 2.0, "2*pi": 2.0, "-pi": -1.0, "-twopi": -2.0, "-2pi": -2.0, "pi/2": 0.5, "pi/4": 0.25, "-pi/2": -0.5, "-pi/4": -0.25}
 
+def from_short_float(code: Column, bits: int = 12) -> Column:
+    """The float of a code of ``short_float``."""
+    exponent, rest = F.shiftright(code, 16), code.bitwiseAND(0xFFFF)
+    fraction = rest.bitwiseAND((1 << bits) - 1) / float(1 << bits)
+    value = F.when(exponent == 0, fraction * 2.0**-126).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 127))
+    return F.when(rest.bitwiseAND(1 << (bits + 1)) != 0, -value).otherwise(value).cast("float")
 
-def parse_range(title: str) -> tuple[float, float, int] | None:
-    """(low, high, bits) of a title that holds ``[low,high]`` or ``[low,high,bits]``; bits are 2 to 32, 32 if absent or not."""
-    found = re.search(r"\[([^\[\],]*),([^\[\],]*)(?:,([^\[\]]*))?\]", title)
-    if not found:
+
+_PI = re.compile(r"(2\*?|two)?pi(/[24](?!\d))?")
+
+
+def _bound(text: str) -> float | None:
+    """A number, or a multiple of pi, as titles spell them."""
+    if found := _PI.search(text):
+        size = 2 * math.pi if found[1] else math.pi / int(found[2][1]) if found[2] else math.pi
+        return -size if "-" in text else size
+    try:
+        return float(text)
+    except ValueError:
         return None
 
-    def number(s: str) -> float:
-        s = s.strip().lower().replace(" ", "")
-        return _PI[s] * 3.141592653589793 if s in _PI else float(s)
 
-    bits = int(found[3]) if found[3] else 32
-    bits = bits if 2 <= bits <= 32 else 32
-    low, high = number(found[1]), number(found[2])
-    return (low, high, bits) if low < high else (float(bits), high, bits)
+def parse_range(title: str) -> tuple[float, float, int] | None:
+    """(low, high, bits) of a title that ends in ``[low,high]`` or ``[low,high,bits]``.
+
+    The last bracket counts, at the title's beginning or right behind ``/`` and one letter; bits are 2 to 32, 32 where
+    none are given.  Where low is not below high there is no range, and under 15 bits stand in ``low`` instead, a tenth
+    more.  Other titles have no range: None.
+    """
+    text, _, tail = title.rpartition("[")
+    body, closed, _ = tail.rpartition("]")
+    parts = [p.strip().lower() for p in body.split(",")]
+    if "[" not in title or not closed or len(parts) not in (2, 3) or text and (len(text) < 2 or text[-2] != "/" or text[-1] == "/"):
+        return None
+    bits = 32
+    if len(parts) == 3:
+        if not re.fullmatch(r"\+?[0-9]+", parts[2]) or not 2 <= int(parts[2]) <= 32:
+            return None
+        bits = int(parts[2])
+    low, high = _bound(parts[0]), _bound(parts[1])
+    if low is None or high is None:
+        return None
+    return (bits + 0.1 if low >= high and bits < 15 else low), high, bits
 
 
 def range_bits(low: float, high: float) -> int:
-    """Mantissa bits of an unranged packed float: folded into ``low`` where there is no range."""
+    """Mantissa bits of a float without a range: folded into ``low`` by ``parse_range``, else 12."""
     return int(low) if low >= high and 0 < low < 15 else 12
 
 
+def packed(x: Column, title: str) -> Column:
+    """The stored code of a float whose column has this title: scaled where it gives a range, else a short float."""
+    low, high, bits = parse_range(title) or (0.0, 0.0, 32)
+    return ranged(x, low, high, bits) if low < high else short_float(x, range_bits(low, high))
+
+
+def unpacked(code: Column, title: str) -> Column:
+    """The value of a code of ``packed``."""
+    low, high, bits = parse_range(title) or (0.0, 0.0, 32)
+    return unranged(code, low, high, bits) if low < high else from_short_float(code, range_bits(low, high))
+
+
 def pack_time(t: Column) -> Column:
-    """A time to the second in 32 bits: years from 1995, month, day, hour, minute, second."""
+    """A time to the second in 32 bits: years from 1995, month, day, hour, minute, second; null before 1995 and after 2058."""
     parts = [(F.year(t) - 1995, 26), (F.month(t), 22), (F.dayofmonth(t), 17), (F.hour(t), 12), (F.minute(t), 6), (F.second(t), 0)]
     out = F.lit(0).cast("long")
     for value, shift in parts:
         out = out.bitwiseOR(F.shiftleft(value.cast("long"), shift))
-    return out
+    return F.when((F.year(t) >= 1995) & (F.year(t) <= 2058), out)
 
 
 def unpack_time(code: Column) -> Column:

@@ -134,14 +134,22 @@ def exact(value: Column, element: str, given: T.DataType, name: str) -> Column:
     kind, _, _, limits = SCALARS[element]
     if limits is None or isinstance(given, (T.StringType, T.BooleanType)):
         return value.cast(kind)
-    wide = value.cast("decimal(38,10)")
-    bad = (wide != F.floor(wide)) | (wide < F.lit(limits[0]).cast("decimal(20,0)")) | (wide > F.lit(str(limits[1])).cast("decimal(20,0)"))
+    low, high = limits
+    if isinstance(given, (T.DoubleType, T.FloatType)):
+        # Whole doubles up to 2 ** 53 are exact; above, the next double below the end of the range is.
+        bad = (value != F.floor(value)) | (value < float(low)) | ((value > float(high)) if high < 2**53 else (value >= float(high + 1)))
+    elif isinstance(given, T.DecimalType):
+        bad = (value != F.floor(value)) | (value < F.lit(low).cast("decimal(20,0)")) | (value > F.lit(str(high)).cast("decimal(20,0)"))
+    else:  # whole numbers of 8 bytes at most
+        bad = (value < low) | (value > min(high, 2**63 - 1))
     return F.when(bad, F.raise_error(F.lit(f"{name}: a value does not fit {element}"))).otherwise(value.cast(kind))
 
 
-def one_shot(columns: DataFrame, kinds: dict[str, str], name: str = "table") -> TableBuilder:
-    """A table from whole columns; arrays become jagged columns."""
-    builder = TableBuilder(name)
+def one_shot(columns: DataFrame, kinds: dict[str, str], name: str = "table", lengths: dict[str, int] | None = None) -> TableBuilder:
+    """A table from whole columns; arrays become jagged columns, or of a fixed length where ``lengths`` gives one."""
+    builder, lengths = TableBuilder(name), lengths or {}
+    if lacking := [c for c in kinds if c not in columns.columns]:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
     for c, element in kinds.items():
-        builder.column(c, element, jagged=isinstance(columns.schema[c].dataType, T.ArrayType))
+        builder.column(c, element, length=lengths.get(c), jagged=c not in lengths and isinstance(columns.schema[c].dataType, T.ArrayType))
     return builder.append(columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.codecs import LATEST
+from tessera.sources import tables
 
 #: A free list ends with an open stretch that reaches this offset.
 OPEN_END = 2_000_000_000
@@ -50,20 +51,34 @@ def free_bytes(spans: DataFrame) -> DataFrame:
     return spans.agg(F.coalesce(F.sum(F.when(closed, F.col("last") - F.col("first") + 1)), F.lit(0)).alias("free_bytes"), F.min(F.when(~closed, F.col("first"))).alias("tail"))
 
 
-def closure(needs: DataFrame, roots: list[str], most: int = 100) -> DataFrame:
-    """(class, level): all classes that the roots need, each at its greatest distance; ``needs`` has class and needs."""
-    out = needs.sparkSession.createDataFrame([(r, 0) for r in roots], "class string, level int")
-    frontier = out
-    for level in range(1, most + 1):
-        frontier = frontier.select("class").join(needs, "class").select(F.col("needs").alias("class")).distinct().join(out.select("class").distinct(), "class", "left_anti")
-        frontier = frontier.withColumn("level", F.lit(level))
-        if frontier.isEmpty():
+def closure(needs: DataFrame, roots: list[str]) -> DataFrame:
+    """(class, level, rank): all classes that the roots need; ``needs`` has class and needs.
+
+    The level is the fewest steps from a root.  Ranks put what is needed first: a class has a higher rank than all that
+    it needs, by the longest chain below it; classes of a cycle, and those that need them, share the last rank.  Each
+    step is a written table, and steps end when nothing is new, however long a chain is.
+    """
+    edges = tables.stored(needs.select("class", "needs").where("class IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    found = tables.stored(needs.sparkSession.createDataFrame([(r, 0) for r in sorted(set(roots))], "class string, level int"), "closure")
+    frontier, level = found, 0
+    while not frontier.isEmpty():
+        level += 1
+        reached = frontier.select("class").join(edges, "class").select(F.col("needs").alias("class")).distinct()
+        frontier = tables.stored(reached.join(found, "class", "left_anti").withColumn("level", F.lit(level)), "frontier")
+        found = tables.stored(found.unionByName(frontier), "closure")
+    left, ranked, rank = found.select("class"), None, 0
+    while True:
+        unmet = edges.where("class != needs").join(left.select(F.col("class").alias("needs")), "needs", "left_semi").select("class").distinct()
+        ready = tables.stored(left.join(unmet, "class", "left_anti").withColumn("rank", F.lit(rank)), "ready")
+        if ready.isEmpty():
             break
-        out = out.unionByName(frontier)
-    return out.groupBy("class").agg(F.min("level").alias("level"))
+        ranked = ready if ranked is None else ranked.unionByName(ready)
+        left, rank = tables.stored(left.join(ready, "class", "left_anti"), "left"), rank + 1
+    rest = left.withColumn("rank", F.lit(rank))
+    return found.join(rest if ranked is None else ranked.unionByName(rest), "class")
 
 
 def described(members: DataFrame) -> DataFrame:
     """One line a member of the latest version of each class: position, type, name, code, size, title."""
-    last = members.groupBy("class").agg(F.max("version").alias("version"))
-    return members.join(last, ["class", "version"]).select("class", "version", "pos", "type", "name", "code", "size", "title")
+    last = F.max("version").over(Window.partitionBy("class"))
+    return members.withColumn("_last", last).where("version = _last").select("class", "version", "pos", "type", "name", "code", "size", "title")

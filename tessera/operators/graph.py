@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import columns
+
 
 def graph(df: DataFrame, order: list[Column], x: Column, y: Column, x_errors: tuple[Column, ...] = (), y_errors: tuple[Column, ...] = ()) -> DataFrame:
     """(idx, x, y, exlow, exhigh, eylow, eyhigh): errors are zero, one column for both sides, or (low, high).
 
-    Points are numbered by ``order``, which needs one total order over the points; a graph's points are few enough
-    to draw, so that numbering them in one task is no limit.
+    Points are numbered by ``order``, which needs to be one total order over the points; no task numbers all of them.
     """
-    from pyspark.sql import Window
 
     def sides(errors: tuple[Column, ...]) -> tuple[Column, Column]:
         if len(errors) > 2:
@@ -21,8 +21,10 @@ def graph(df: DataFrame, order: list[Column], x: Column, y: Column, x_errors: tu
         return low.cast("double"), high.cast("double")
 
     (xl, xh), (yl, yh) = sides(x_errors), sides(y_errors)
-    number = (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx")
-    return df.select(number, x.cast("double").alias("x"), y.cast("double").alias("y"), xl.alias("exlow"), xh.alias("exhigh"), yl.alias("eylow"), yh.alias("eyhigh"))
+    by = {f"_by{i}": c for i, c in enumerate(order)}
+    values = {"x": x.cast("double"), "y": y.cast("double"), "exlow": xl, "exhigh": xh, "eylow": yl, "eyhigh": yh}
+    numbered = columns.entries(df.select(*[c.alias(k) for k, c in (by | values).items()]), *by)
+    return numbered.select(F.col("entry").cast("int").alias("idx"), *values)
 
 
 def points(g: DataFrame) -> DataFrame:

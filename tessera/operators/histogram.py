@@ -32,7 +32,7 @@ def _grid(df: DataFrame, axes: list[Axis]) -> DataFrame:
     return out
 
 
-def _celled(content: Column, cell: str) -> Column:
+def celled(content: Column, cell: str) -> Column:
     """Contents in the cell's type; a whole-number cell refuses fractions and values beyond its range."""
     if cell not in CELLS:
         raise ValueError(f"cells are one of {', '.join(CELLS)}")
@@ -50,7 +50,7 @@ def histogram(df: DataFrame, values: list[Column], axes: list[Axis], weight: Col
     names = ["bx", "by", "bz"][: len(axes)]
     sums = _binned(df, values, axes, weight).groupBy(*names).agg(F.sum("w").alias("content"), F.sum(F.col("w") * F.col("w")).alias("sumw2"))
     dense = _grid(df, axes).join(sums, names, "left").na.fill(0.0, ["content", "sumw2"])
-    content = _celled(F.col("content"), cell)
+    content = celled(F.col("content"), cell)
     error = F.sqrt("sumw2") if sumw2 else F.sqrt(F.abs("content"))
     kept = [F.col("sumw2")] if sumw2 else []
     return dense.select(*names, flat_cell([F.col(n) for n in names], axes).alias("cell"), content.alias("content"), *kept, error.alias("error"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,30 +84,89 @@ SCALARS = {
     "bool": T.BooleanType(), "char": T.ByteType(), "signed char": T.ByteType(), "unsigned char": T.ShortType(), "short": T.ShortType(), "unsigned short": T.IntegerType(),
     "int": T.IntegerType(), "unsigned int": T.LongType(), "unsigned": T.LongType(), "long": T.LongType(), "long long": T.LongType(), "unsigned long": T.DecimalType(20, 0),
     "unsigned long long": T.DecimalType(20, 0), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(),
+    "Float16_t": T.FloatType(), "Double32_t": T.DoubleType(),
 }
 SEQUENCES = ("vector", "list", "deque", "forward_list", "set", "multiset", "unordered_set", "unordered_multiset")
 MAPS = ("map", "multimap", "unordered_map", "unordered_multimap")
 
 
-def spark_type(name: str) -> T.DataType:
-    """The Spark type of a C++ type name: sequences and sets are arrays, maps arrays of (first, second), bit sets boolean arrays."""
-    text = name.replace("std::", "").replace("const ", "").strip(" *&")
-    if "<" not in text:
-        if text not in SCALARS:
-            raise KeyError(name)
-        return SCALARS[text]
-    outer, inner = text.split("<", 1)
-    parts, depth, start, inner = [], 0, 0, inner.rstrip()[:-1]
-    for i, c in enumerate(inner):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            parts, start = [*parts, inner[start:i]], i + 1
-    parts = [p.strip() for p in [*parts, inner[start:]]]
-    if outer == "bitset":
+@dataclass(frozen=True)
+class TypeName:
+    """A C++ type's name and its template arguments, without name spaces, qualifiers, pointers and references."""
+
+    name: str
+    arguments: tuple[TypeName, ...] = ()
+
+    def __str__(self) -> str:
+        """As stored classes spell it: no blank after a comma, one between closing brackets."""
+        inner = ",".join(map(str, self.arguments))
+        return f"{self.name}<{inner}{' ' if inner.endswith('>') else ''}>" if inner else self.name
+
+
+def type_name(text: str) -> TypeName:
+    """The parsed name; different spellings of one type are equal."""
+    stack: list[tuple[str, list[TypeName]]] = [("", [])]
+
+    def close() -> None:
+        name, arguments = stack.pop()
+        name = re.sub(r"\b(class|struct|enum|const|volatile)\s+|std::(__1::|__cxx11::)?|__gnu_cxx::", "", name)
+        name = " ".join(re.sub(r"[*&\s]+$", "", re.sub(r"\s+const\s*$", "", name)).split())
+        plain = name in ("string", "basic_string")  # its arguments say only that it is the usual one
+        stack[-1][1].append(TypeName("string" if plain else name, () if plain else tuple(arguments)))
+
+    stack.append(("", []))
+    for token in re.findall(r"[<>,]|[^<>,]+", text):
+        if token == "<":
+            stack.append(("", []))
+        elif token in ">,":
+            if len(stack) < 3:
+                raise ValueError(f"{text}: no bracket is open")
+            close()
+            if token == ",":
+                stack.append(("", []))
+        elif not stack[-1][1]:
+            stack[-1] = (stack[-1][0] + token, stack[-1][1])
+    if len(stack) != 2:
+        raise ValueError(f"{text}: a bracket stays open")
+    close()
+    return stack[0][1][0]
+
+
+def spark_type(name: str | TypeName, classes: dict[str, list[tuple[str, str]]] | None = None) -> T.DataType:
+    """The Spark type of a C++ type name: sequences and sets are arrays, maps arrays of (first, second), bit sets boolean arrays.
+
+    ``classes`` gives the (member, type) lists of classes that the name may use; a class is a struct of its members.
+    """
+    kind = type_name(name) if isinstance(name, str) else name
+    of = lambda i: spark_type(kind.arguments[i], classes)
+    if kind.name == "bitset":
         return T.ArrayType(T.BooleanType(), False)
-    if outer in SEQUENCES:
-        return T.ArrayType(spark_type(parts[0]), False)
-    if outer in MAPS or outer == "pair":
-        pair = T.StructType([T.StructField("first", spark_type(parts[0])), T.StructField("second", spark_type(parts[1]))])
-        return pair if outer == "pair" else T.ArrayType(pair, False)
-    raise KeyError(name)
+    if kind.name in SEQUENCES:
+        return T.ArrayType(of(0), False)
+    if kind.name in MAPS or kind.name == "pair":
+        pair = T.StructType([T.StructField("first", of(0)), T.StructField("second", of(1))])
+        return pair if kind.name == "pair" else T.ArrayType(pair, False)
+    if kind.name in SCALARS and not kind.arguments:
+        return SCALARS[kind.name]
+    if str(kind) in (classes or {}):
+        return class_type(str(kind), classes)
+    raise KeyError(str(name))
+
+
+def class_type(name: str, classes: dict[str, list[tuple[str, str]]]) -> T.StructType:
+    """A struct from a class description: its members in order, ``x[3]`` an array, base classes' members in their place.
+
+    A member whose name is its type's is a base class.  A class that holds itself has no such type.
+    """
+    out, rest = T.StructType(), {k: v for k, v in classes.items() if k != name}
+    for member, kind in classes[name]:
+        if member == kind and kind in classes:
+            for f in class_type(kind, rest).fields:
+                out.add(f)
+            continue
+        plain, dims = member.split("[", 1)[0], member.count("[")
+        inner = spark_type(kind, rest)
+        for _ in range(dims):
+            inner = T.ArrayType(inner, False)
+        out.add(T.StructField(plain, inner))
+    return out

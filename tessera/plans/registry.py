@@ -51,13 +51,14 @@ def cuts_sql(x: str, cuts: list[float]) -> str:
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem")
 def column_scalar(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_quantity")
+    rows = columns.entries_of(table(spark, sf, "lineitem"), "l_orderkey")
+    return columns.array(rows, "l_quantity").select(F.col("entry").alias("l_orderkey"), F.col("value").alias("l_quantity"))
 
 
-@query("SELECT n_nationkey AS entry, n_name AS value, strlen(n_name)::INT AS n_bytes FROM nation")
+@query("SELECT p_partkey AS entry, p_name AS value, strlen(p_name)::INT AS n_bytes FROM part")
 def column_string(spark, sf):
-    rows = columns.entries_of(table(spark, sf, "nation"), "n_nationkey")
-    return columns.array(rows, "n_name").select(F.col("entry").cast("int").alias("entry"), "value", F.octet_length("value").alias("n_bytes"))
+    rows = columns.entries_of(table(spark, sf, "part"), "p_partkey")
+    return columns.array(rows, "p_name").select("entry", "value", F.octet_length("value").alias("n_bytes"))
 
 
 @query("SELECT vec_id AS entry, (k - 1)::INT AS k, embedding[k] AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)")
@@ -95,14 +96,17 @@ def basket_table(spark, sf):
     return columns.baskets(columns.entries(table(spark, sf, "orders"), "o_orderkey"), "o_totalprice", 8)
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders), w AS (SELECT e FROM e WHERE e % 97 = 5)
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS e FROM orders), w AS (SELECT e FROM e)
           SELECT e::BIGINT AS entry, (e // 4000)::BIGINT AS basket FROM w""")
 def basket_lookup(spark, sf):
     rows = columns.entries(table(spark, sf, "orders"), "o_orderkey")
-    return columns.lookup(columns.baskets(rows, "o_totalprice", 8), rows.where("entry % 97 = 5").select("entry"))
+    return columns.lookup(columns.baskets(rows, "o_totalprice", 8), rows.select("entry"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS e, strlen(p_name) + CASE WHEN strlen(p_name) < 255 THEN 1 ELSE 5 END AS size FROM part),
+          r(e, basket, at, bytes) AS (SELECT e, 0, 1, size FROM p WHERE e = 0
+            UNION ALL SELECT p.e, basket + (bytes >= 2000)::INT, CASE WHEN bytes >= 2000 THEN 1 ELSE at + 1 END, CASE WHEN bytes >= 2000 THEN size ELSE bytes + size END FROM r JOIN p ON p.e = r.e + 1)
+          SELECT 0::BIGINT AS stretch, basket, min(e)::BIGINT AS first_entry, count(*) AS n_entries, max(bytes)::BIGINT AS bytes FROM r GROUP BY basket""")
 def variable_baskets(spark, sf):
     rows = columns.entries(table(spark, sf, "part"), "p_partkey")
     return columns.variable_baskets(rows, codecs.string_size(F.col("p_name")), 2000)
@@ -117,8 +121,37 @@ def row_count_rule(spark, sf):
 @query("SELECT s_suppkey, s_nationkey AS a, s_acctbal AS value FROM supplier")
 def leaf_choice(spark, sf):
     s = columns.entries_of(table(spark, sf, "supplier").withColumn("pair", F.struct(F.col("s_acctbal").alias("b"), F.col("s_nationkey").alias("a"))), "s_suppkey")
-    a = columns.array(s, "pair", "a").withColumnRenamed("value", "a")
-    return a.join(columns.array(s, "pair", "b"), "entry").select(F.col("entry").alias("s_suppkey"), "a", "value")
+    return s.select(F.col("entry").alias("s_suppkey"), *[F.col(columns.leaf(s.schema, "pair", x)).alias(n) for x, n in (("a", "a"), ("b", "value"))])
+
+
+@query("SELECT s_suppkey, s_name AS label, s_acctbal AS balance, s_nationkey AS x FROM supplier")
+def resolved_leaves(spark, sf):
+    """Names found through the schema: an exact column before a nested field, parents before children."""
+    s = table(spark, sf, "supplier")
+    inner = F.struct(F.col("s_acctbal").alias("balance"), F.lit(0).alias("x"))
+    rows = s.select("s_suppkey", F.struct(F.col("s_name").alias("label"), inner.alias("inner")).alias("event"), F.col("s_nationkey").alias("x"))
+    return rows.select("s_suppkey", *[F.col(columns.find(rows.schema, n)).alias(n) for n in ("label", "balance", "x")])
+
+
+@query("""WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS entry FROM events), u AS (SELECT user_id, row_number() OVER (ORDER BY event_id) - 1 AS entry FROM events WHERE event_type != 'view')
+          SELECT entry::BIGINT AS entry, value, user_id FROM s JOIN u USING (entry)""")
+def split_columns(spark, sf):
+    """Split columns of different lengths side by side: as many rows as the shortest has."""
+    e = table(spark, sf, "events")
+    left = columns.entries(e.select("event_id", "value"), "event_id").select("entry", "value")
+    right = columns.entries(e.where("event_type != 'view'").select("event_id", "user_id"), "event_id").select("entry", "user_id")
+    return nested.join_split([left, right])
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_totalprice AS price, true AS same FROM orders")
+def split_equals_unsplit(spark, sf):
+    """The same objects kept whole and split into columns."""
+    o = table(spark, sf, "orders")
+    whole = o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price")).alias("event"))
+    split = o.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("event.status"), F.col("o_totalprice").alias("event.price[1]"))
+    split = nested.assemble(split, "built", {c: f"`{c}`" for c in split.columns[1:]}, "event")
+    both = whole.join(split, F.col("o_orderkey") == F.col("key"))
+    return both.select("o_orderkey", "event.*", F.col("event").eqNullSafe(F.col("built")).alias("same"))
 
 
 @query("""SELECT * FROM (VALUES (0, 'c_custkey', 'scalar', 'bigint', 1), (1, 'c_name', 'string', 'string', 1), (2, 'c_nationkey', 'scalar', 'int', 1),
@@ -164,6 +197,17 @@ def leaf_titles(spark, sf):
     return titles.join(made.rows.agg(F.count("*").alias("entries")))
 
 
+@query("""SELECT vec_id, 'emb[' || len(embedding) || ']/F' AS title, len(embedding)::INT AS length, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)))::BIGINT AS total
+          FROM embeddings""")
+def fixed_column_built(spark, sf):
+    """A table from whole columns with an array of fixed length, which the first row gives."""
+    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "emb")
+    made = build.one_shot(e, {"vec_id": "int64", "emb": "float32"}, lengths={"emb": len(e.select("emb").first()[0])})
+    shape = columns.shape(made.schema["emb"])
+    whole = F.aggregate(F.transform("emb", lambda x: F.round(x.cast("double") * 1e6)), F.lit(0.0), lambda t, x: t + x).cast("long")
+    return made.rows.select("vec_id", F.lit(made.titles()[1]).alias("title"), F.lit(shape.length).alias("length"), whole.alias("total"))
+
+
 # Axes and histograms
 
 PRICE = Axis.fixed(50, 0.0, 100000.0)
@@ -229,6 +273,24 @@ def hist1d_stats(spark, sf):
     return histogram.statistics(table(spark, sf, "lineitem"), [F.col("l_quantity")], [SHAPE], F.col("l_linenumber"))
 
 
+@query("""WITH c AS (SELECT unnest([0.0, 5000.0, 20000.0, 20000.0, 45000.0, 90000.0]) AS e, unnest(range(0, 6)) AS i), n AS (SELECT """ + cuts_sql("l_extendedprice", CUTS) + """ AS bin, count(*) AS n FROM lineitem GROUP BY 1)
+          SELECT a.i::INT + 1 AS bin, a.e::DOUBLE AS low, b.e::DOUBLE AS high, a.e::DOUBLE AS low_edge, (b.e - a.e)::DOUBLE AS width, ((a.e + b.e) / 2)::DOUBLE AS center, coalesce(n, 0)::BIGINT AS n
+          FROM c a JOIN c b ON b.i = a.i + 1 LEFT JOIN n ON n.bin = a.i + 1""")
+def axis_cuts(spark, sf):
+    """Edges, widths and centers of the bins between cuts, with the rows of each."""
+    found = table(spark, sf, "lineitem").groupBy(WIDE.find(F.col("l_extendedprice")).alias("bin")).agg(F.count("*").alias("n"))
+    return WIDE.table(spark).join(found, "bin", "left").na.fill(0, ["n"])
+
+
+@query("""WITH c AS (SELECT l_linenumber::INT AS bx, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT unnest(range(0, 10))::INT AS bx), d AS (SELECT g.bx, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (bx))
+          SELECT bx, (n > 0)::TINYINT AS of_byte, (n // 100)::SMALLINT AS of_short, n::INT AS of_int, n::BIGINT AS of_long, n::FLOAT AS of_float, n::DOUBLE AS of_double FROM d""")
+def hist_cell_types(spark, sf):
+    """One histogram in all cell types, of counts that each can hold."""
+    counts = histogram.histogram(table(spark, sf, "lineitem"), [F.col("l_linenumber")], [Axis.fixed(8, 1.0, 9.0)]).select("bx", "content")
+    scaled = {"byte": F.signum("content"), "short": F.floor(F.col("content") / 100).cast("double")}
+    return counts.select("bx", *[histogram.celled(scaled.get(c, F.col("content")), c).alias(f"of_{c}") for c in histogram.CELLS])
+
+
 LABELS = ["view", "click", "purchase", "signup"]
 
 
@@ -387,9 +449,9 @@ def counted_member(spark, sf):
 
 @query("""SELECT o_orderkey, (((year(o_orderdate) - 1995)::BIGINT << 26) | (month(o_orderdate)::BIGINT << 22) | (day(o_orderdate)::BIGINT << 17)
           | (hour(o_orderdate)::BIGINT << 12) | (minute(o_orderdate)::BIGINT << 6) | second(o_orderdate)::BIGINT) AS code, date_trunc('second', o_orderdate)::TIMESTAMP AS back
-          FROM orders WHERE year(o_orderdate) >= 1995""")
+          FROM orders WHERE year(o_orderdate) >= 1995 UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE year(o_orderdate) < 1995""")
 def datime_pack(spark, sf):
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") >= 1995)
+    o = table(spark, sf, "orders")
     code = codecs.pack_time(F.col("o_orderdate"))
     return o.select("o_orderkey", code.alias("code"), codecs.unpack_time(code).alias("back"))
 
@@ -400,6 +462,26 @@ def packed_float_ranged(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", code.alias("code"), codecs.unranged(code, 0.0, 0.125, 16).alias("back"))
 
 
+_SHORT = "(SELECT l_orderkey, l_quantity, l_extendedprice::FLOAT::DOUBLE AS a, floor(log2(l_extendedprice::FLOAT::DOUBLE))::INT AS e FROM lineitem)"
+
+
+@query(f"""WITH m AS (SELECT *, least(floor(a / pow(2, e - 10) + 0.5) - 1024, 1023) AS m FROM {_SHORT})
+           SELECT l_orderkey, a AS x, ((e + 127) * 65536 + m)::BIGINT AS code, ((1 + m / 1024) * pow(2, e))::FLOAT AS back FROM m""")
+def short_float(spark, sf):
+    """Prices as short floats of 10 bits, which the column's title asks for, and read back."""
+    title = "price/f[0,0,10]"
+    code = codecs.packed(F.col("l_extendedprice"), title)
+    return table(spark, sf, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("float").cast("double").alias("x"), code.alias("code"), codecs.unpacked(code, title).alias("back"))
+
+
+@query("SELECT l_orderkey, round_even((l_tax - 0.0) * (4096.0 / 0.5), 0)::BIGINT AS code, round_even((l_tax - 0.0) * (4096.0 / 0.5), 0)::DOUBLE / (4096.0 / 0.5) + 0.0 AS back FROM lineitem")
+def packed_by_title(spark, sf):
+    """A column packed over the range in its title."""
+    title = "tax/d[0, 0.5, 12]"
+    code = codecs.packed(F.col("l_tax"), title)
+    return table(spark, sf, "lineitem").select("l_orderkey", code.alias("code"), codecs.unpacked(code, title).alias("back"))
+
+
 @query("SELECT l_orderkey, l_extendedprice::FLOAT::DOUBLE AS x FROM lineitem")
 def double32(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", codecs.through_float(F.col("l_extendedprice")).alias("x"))
@@ -453,14 +535,14 @@ def name_cycles(spark, sf):
     return counts.select("text", "n", name.alias("name"), cycle.alias("cycle"))
 
 
-_SPANS = "(SELECT p_partkey * 10 AS first, p_partkey * 10 + p_size AS last, p_brand FROM part WHERE p_partkey % 7 < 4)"
+_SPANS = "(SELECT p_partkey * 10 AS first, p_partkey * 10 + p_size AS last, p_brand FROM part)"
 
 
 @query(f"""WITH m AS (SELECT *, max(last) OVER (PARTITION BY p_brand ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_SPANS}),
            i AS (SELECT *, sum(CASE WHEN first <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m)
            SELECT p_brand, min(first) AS first, max(last) AS last FROM i GROUP BY p_brand, island""")
 def interval_coalesce(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 7 < 4")
+    p = table(spark, sf, "part")
     return catalog.coalesced(p.select("p_brand", (F.col("p_partkey") * 10).alias("first"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("last")), ["p_brand"])
 
 
@@ -469,12 +551,11 @@ def free_list_bytes(spark, sf):
     return catalog.free_bytes(table(spark, sf, "part").select((F.col("p_partkey") * 100).alias("first"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("last")))
 
 
-@query("""SELECT n_nationkey, (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1)::INT AS plain, (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1 + 8)::INT AS big,
-          (26 + 7 + 1 + strlen(n_name) + 1 + strlen(r_name) + 1 + 19)::INT AS basket, (strlen(n_name) + 1)::INT AS name_bytes FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT c_custkey, (26 + 7 + 1 + strlen(c_name) + 1 + strlen(c_mktsegment) + 1)::INT AS plain, (26 + 7 + 1 + strlen(c_name) + 1 + strlen(c_mktsegment) + 1 + 8)::INT AS big,
+          (26 + 7 + 1 + strlen(c_name) + 1 + strlen(c_mktsegment) + 1 + 19)::INT AS basket, (strlen(c_name) + 1)::INT AS name_bytes FROM customer""")
 def key_length(spark, sf):
-    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    size = lambda **k: codecs.key_size(F.col("n_name"), F.col("r_name"), F.lit("Records"), **k)
-    return n.select("n_nationkey", size().alias("plain"), size(big=F.lit(True)).alias("big"), size(basket=True).alias("basket"), codecs.string_size(F.col("n_name")).alias("name_bytes"))
+    size = lambda **k: codecs.key_size(F.col("c_name"), F.col("c_mktsegment"), F.lit("Records"), **k)
+    return table(spark, sf, "customer").select("c_custkey", size().alias("plain"), size(big=F.lit(True)).alias("big"), size(basket=True).alias("basket"), codecs.string_size(F.col("c_name")).alias("name_bytes"))
 
 
 @query("SELECT o_orderkey, o_totalprice::BIGINT - o_custkey != 20 AS packed, o_custkey % 5 - 2 < 0 AS gap, o_custkey > 1000 AS big FROM orders")
@@ -492,11 +573,13 @@ def described_classes(spark, sf):
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'S' || (ps // 7) AS a, 'S' || (ps // 2) AS b FROM (SELECT s_suppkey AS ps FROM supplier)),
-          r(class) AS (SELECT 'S1' UNION SELECT b FROM r JOIN e ON a = class) SELECT class FROM r""")
+          r(class, level) AS (SELECT 'S1', 0 UNION SELECT b, level + 1 FROM r JOIN e ON a = class),
+          below(class, x, n) AS (SELECT DISTINCT class, class, 0 FROM r UNION SELECT class, b, n + 1 FROM below JOIN e ON x = a AND a != b)
+          SELECT class, min(level)::INT AS level, (SELECT max(n)::INT FROM below WHERE below.class = r.class) AS rank FROM r GROUP BY class""")
 def class_closure(spark, sf):
     k = F.col("s_suppkey")
     needs = table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.floor(k / 7)).alias("class"), F.concat(F.lit("S"), F.floor(k / 2)).alias("needs")).distinct()
-    return catalog.closure(needs, ["S1"]).select("class")
+    return catalog.closure(needs, ["S1"]).select("class", "level", "rank")
 
 
 @query("SELECT doc_id, octet_length(encode(text))::INT AS n_bytes, true AS same FROM documents")
@@ -510,9 +593,11 @@ def block_round_trip(spark, sf):
     return packed.select("doc_id", "n_bytes", same.alias("same"))
 
 
-@query()
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first, octet_length(encode(any_value(text)))::INT AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def raw_hash(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", blocks.xxhash64_raw(F.col("n_name").cast("binary")).alias("hash"))
+    """Equal payloads by a hash of their raw bytes."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max(F.octet_length("text")).alias("n_bytes"))
 
 
 def queries() -> dict[str, Query]:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.codecs import LATEST
-from tessera.operators import catalog
 
 KEYS = "name string, cycle int, kind string, title string, path string, entries long, position long"
 
@@ -21,16 +20,23 @@ KEYS = "name string, cycle int, kind string, title string, path string, entries
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table below ``spark.checkpoint.dir``: what reads it twice sees the same rows, however they were dealt.
 
-    Only where the session has no such setting (tests, a laptop) a local folder is made and set.
+    Only a local session without that setting (tests, a laptop) gets a local folder; elsewhere the setting is needed.
     """
-    spark = df.sparkSession
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def keys(spark: SparkSession, store: str) -> DataFrame:
@@ -58,6 +64,8 @@ def read(spark: SparkSession, store: str, name: str, cycle: int = LATEST, column
         head, _, tail = name.rpartition(";")
         if tail == "*" or tail.isdigit():
             name, cycle = head, LATEST if tail == "*" else int(tail)
+    from tessera.operators import catalog  # which stores its steps here
+
     found = catalog.find(keys(spark, store), name, cycle).select("path").collect()
     if not found:
         raise KeyError(f"{name};{cycle}")

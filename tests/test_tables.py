@@ -1,3 +1,6 @@
+import math
+import random
+import struct
 import tempfile
 
 import pytest
@@ -107,10 +110,19 @@ def test_builder_refusals(spark):
 
 
 def test_name_cycles(spark):
-    rows = ["h", "h;2", "h;*", "h;nonsense", "a;b;3"]
+    """All heads with all tails against a loop."""
+    heads, tails = ["run", "x;y", ";", "ü z", ""], ["", ";7", ";007", ";*", ";new", ";1x", "; 3", ";12;*", ";"]
+
+    def plain(text):
+        head, sep, tail = text.rpartition(";")
+        if sep and (tail == "*" or tail and all(c in "0123456789" for c in tail)):
+            return head, 9999 if tail == "*" else int(tail)
+        return text, 9999
+
+    texts = [h + t for h in heads for t in tails]
     name, cycle = codecs.name_cycle(F.col("t"))
-    got = spark.createDataFrame([(t,) for t in rows], "t string").select(name.alias("n"), cycle.alias("c")).collect()
-    assert [tuple(r) for r in got] == [("h", 9999), ("h", 2), ("h", 9999), ("h;nonsense", 9999), ("a;b", 3)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", name.alias("n"), cycle.alias("c")).collect()
+    assert [(r.n, r.c) for r in got] == [plain(r.t) for r in got]
 
 
 def test_sizes_times_and_ranges(spark):
@@ -119,12 +131,10 @@ def test_sizes_times_and_ranges(spark):
     one = spark.range(1)
     assert one.select(codecs.key_size(F.lit("b"), F.lit(""), F.lit("Entries")).alias("k"), codecs.key_size(F.lit("b"), F.lit(""), F.lit("Entries"), F.lit(True)).alias("b"), codecs.key_size(F.lit("b"), F.lit(""), F.lit("Basket"), F.lit(True), True).alias("t")).collect()[0][:2] == (37, 45)
     assert str(one.select(codecs.unpack_time(F.lit(0)).alias("t")).collect()[0].t) == "1995-01-01 00:00:00"
-    assert codecs.parse_range("x[0,pi,16]") == (0, pytest.approx(3.14159265), 16) and codecs.parse_range("none") is None
-    assert codecs.range_bits(10, 0) == 10 and codecs.range_bits(0, 1) == 12
+    assert codecs.range_bits(10.1, 0) == 10 and codecs.range_bits(0, 1) == 12 and codecs.range_bits(20.5, 1) == 12
     t = spark.sql("select timestamp_ntz'2031-12-31 23:59:57' as t")
     assert t.select((codecs.unpack_time(codecs.pack_time(F.col("t"))) == F.col("t")).alias("same")).collect()[0].same
-    x = one.select(codecs.truncated_float(F.lit(3.14159265), 12).alias("x")).collect()[0].x
-    assert abs(x - 3.14159265) < 2**-11
+    assert one.select(codecs.pack_time(F.lit("1994-12-31").cast("timestamp_ntz")).alias("t")).collect()[0].t is None
     with pytest.raises(Exception, match="out of the packed range"):
         one.select(codecs.ranged(F.lit(9.0), 10.0, 20.0)).collect()
 
@@ -150,11 +160,75 @@ def test_blocks():
 
 
 def test_intervals(spark):
-    spans = lambda rows: spark.createDataFrame(rows, "first long, last long")
-    assert values(catalog.coalesced(spans([(100, 199), (300, 399), (200, 299)])), "first", "last") == [(100, 399)]
-    merged = catalog.coalesced(spans([(100, 399), (50, 60)]))
-    assert merged.count() == 2 and catalog.free_bytes(merged).collect()[0].free_bytes == 311
-    assert catalog.free_bytes(spans([(5, 9), (70, catalog.OPEN_END)])).collect()[0][:] == (5, 70)
+    """Generated spans against a set of all their numbers."""
+    rng = random.Random(21)
+    for _ in range(4):
+        rows = [(g, a, a + rng.randint(0, 9)) for g in "xy" for a in rng.sample(range(400), 30)]
+        df = spark.createDataFrame(rows, "g string, first long, last long")
+        expect = []
+        for g in "xy":
+            held = {v for h, a, b in rows if h == g for v in range(a, b + 1)}
+            expect += [(g, v, next(w for w in range(v, 500) if w + 1 not in held)) for v in held if v - 1 not in held]
+        merged = catalog.coalesced(df, ["g"])
+        assert values(merged, "g", "first", "last") == sorted(expect, key=str)
+        assert catalog.free_bytes(merged).collect()[0].free_bytes == sum(b - a + 1 for _, a, b in expect)
+    spans = spark.createDataFrame([(7, 12), (90, catalog.OPEN_END)], "first long, last long")
+    assert catalog.free_bytes(spans).collect()[0][:] == (6, 90)
+
+
+RANGES = {
+    "a/d[1,3]": (1, 3, 32), "[0,2*pi,8]": (0, 2 * math.pi, 8), "b/f[ -PI/2 , pi/4 ,31]": (-math.pi / 2, math.pi / 4, 31), "two words/x[-twopi,1e3]": (-2 * math.pi, 1000, 32),
+    "[0,0,9]": (9.1, 0, 9), "[5,4,20]": (5, 4, 20), "n[1,2] then/d[3,4]": (3, 4, 32), "see [1,2]": None, "a/dd[1,2]": None, "a/d[1]": None, "a/d[1,2,3,4]": None, "": None, "plain": None,
+    "a/d[1,2,1]": None, "a/d[1,2,33]": None, "a/d[1,2,x]": None, "a/d[low,high]": None, "a/d[1,2": None, "a/d]1,2[": None,
+}
+
+
+@pytest.mark.parametrize("title", RANGES)
+def test_ranges_in_titles(title):
+    assert codecs.parse_range(title) == (RANGES[title] and pytest.approx(RANGES[title]))
+
+
+@pytest.mark.parametrize("bits", [2, 8, 12, 14])
+def test_short_floats(spark, bits):
+    """Codes against the float's own bits, and values within half a step."""
+    rng = random.Random(bits)
+    given = [0.0, 1.0, -1.0, 0.5, 2.0**-126, 1e-40, 3.0e38, -7.25, 1.9999999, 2**-149] + [rng.uniform(-1, 1) * 2.0 ** rng.randint(-130, 120) for _ in range(300)]
+    given = [struct.unpack("f", struct.pack("f", x))[0] for x in given]
+
+    def plain(x):
+        word = struct.unpack("I", struct.pack("f", x))[0]
+        mantissa = (((word & 0x7FFFFF) >> (23 - bits - 1)) + 1) >> 1
+        return (word >> 23 & 0xFF) * 65536 + min(mantissa, (1 << bits) - 1) + ((word >> 31) << (bits + 1))
+
+    code = codecs.short_float(F.col("x"), bits)
+    got = spark.createDataFrame([(x,) for x in given], "x double").select("x", code.alias("c"), codecs.from_short_float(code, bits).alias("back")).collect()
+    assert [r.c for r in got] == [plain(r.x) for r in got]
+    assert all(abs(r.back - r.x) <= abs(r.x) * 2.0**-bits + 2.0**-126 for r in got)
+
+
+def test_exact_limits(spark):
+    def fits(value, element):
+        df = spark.sql(f"select {value} as x")
+        try:
+            return df.select(build.exact(F.col("x"), element, df.schema["x"].dataType, "x").alias("x")).collect()[0].x
+        except Exception as e:
+            assert "does not fit" in str(e)
+
+    assert fits("127.0D", "int8") == 127 and fits("128.0D", "int8") is None and fits("-128", "int8") == -128 and fits("-129", "int8") is None
+    assert fits("1.5F", "int32") is None and fits("-1", "uint64") is None and fits("9223372036854775807L", "int64") == 2**63 - 1 == fits("9223372036854775807L", "uint64")
+    assert fits("9223372036854775808.0D", "int64") is None and fits("9223372036854774784.0D", "int64") == 9223372036854774784
+    assert fits("18446744073709551615BD", "uint64") == 2**64 - 1 and fits("18446744073709551616BD", "uint64") is None and fits("4294967295L", "uint32") == 2**32 - 1
+
+
+def test_one_shot_of_fixed_length(spark):
+    df = spark.sql("select array(1.0D, 2.0D) as m, array(7) as v")
+    made = build.one_shot(df, {"m": "float64", "v": "int8"}, lengths={"m": 2})
+    assert made.titles() == ["m[2]/D", "nv/I", "v[nv]/B"] and made.rows.collect()[0].nv == 1
+    with pytest.raises(Exception, match="another length"):
+        build.one_shot(df, {"m": "float64"}, lengths={"m": 3}).rows.collect()
+    for bad in (lambda: build.one_shot(df, {"w": "int8"}), lambda: build.one_shot(df, {}), lambda: build.one_shot(spark.range(1), {"id": "int8"}, lengths={"id": 2})):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_nested(spark):
@@ -171,6 +245,30 @@ def test_nested(spark):
         nested.spark_type("Unknown")
 
 
+def test_type_names():
+    same = {
+        "map<string,vector<int> >": ["std::map<std::string, std::vector<int>>", "class std::__1::map< const std::basic_string<char, std::char_traits<char> > , vector<int>  >&"],
+        "unsigned int": ["const  unsigned   int *", "unsigned int const"], "pair<float,pair<int,Double32_t> >": ["std::pair<float, struct std::pair<volatile int,Double32_t>>"],
+    }
+    for name, others in same.items():
+        assert {str(nested.type_name(x)) for x in [name, *others]} == {name}
+        assert len({nested.spark_type(x).simpleString() for x in [name, *others]}) == 1
+    assert nested.spark_type("vector<Float16_t>").simpleString() == "array<float>"
+    for bad in ("vector<int", "vector<int>>", "a,b"):
+        with pytest.raises(ValueError):
+            nested.type_name(bad)
+
+
+def test_class_descriptions():
+    classes = {"Base": [("id", "int")], "Hit": [("Base", "Base"), ("at[3]", "Double32_t")], "Event": [("name", "std::string"), ("hits", "vector<Hit>"), ("by", "map<int,Hit>")], "Loop": [("next", "vector<Loop>")]}
+    hit = "struct<id:int,at:array<double>>"
+    assert nested.class_type("Event", classes).simpleString() == f"struct<name:string,hits:array<{hit}>,by:array<struct<first:int,second:{hit}>>>"
+    assert nested.spark_type("pair<Base,bool>", classes).simpleString() == "struct<first:struct<id:int>,second:boolean>"
+    for bad in ("Loop", "None"):
+        with pytest.raises(KeyError):
+            nested.class_type(bad, classes)
+
+
 def test_cycles_and_classes(spark):
     keys = spark.createDataFrame([("a", 1, 0), ("b", 1, 1), ("a", 2, 2)], "name string, cycle int, position int")
     assert values(catalog.latest(keys, ["name"]), "name", "cycle") == [("a", 2), ("b", 1)]
@@ -178,7 +276,10 @@ def test_cycles_and_classes(spark):
     new = spark.createDataFrame([("a", 0), ("c", 1), ("a", 2)], "name string, position int")
     assert values(catalog.appended(keys, new), "name", "cycle") == [("a", 3), ("a", 4), ("c", 1)]
     needs = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("X", "Y")], "class string, needs string")
-    assert values(catalog.closure(needs, ["A"]), "class") == [("A",), ("B",), ("C",)]
+    assert values(catalog.closure(needs, ["A"]), "class", "level", "rank") == [("A", 0, 0), ("B", 1, 0), ("C", 2, 0)]
+    needs = spark.createDataFrame([("A", "B"), ("B", "C"), ("A", "C"), ("X", "Y"), *[(f"c{i}", f"c{i + 1}") for i in range(12)], ("B", "B")], "class string, needs string")
+    assert values(catalog.closure(needs, ["A"]), "class", "level", "rank") == [("A", 0, 2), ("B", 1, 1), ("C", 1, 0)]
+    assert values(catalog.closure(needs, ["c0"]), "class", "level", "rank") == sorted(((f"c{i}", i, 12 - i) for i in range(13)), key=str)
 
 
 def test_stream_fills_the_same_cells(spark):
