@@ -58,17 +58,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables written inside, when it ends, but the last: that holds all that is still wanted of them."""
+def scratch(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Deletes the tables written inside, when it ends, but the last ``keep``: those hold all that is still wanted of them."""
     outer, own = _OPEN.get(), []
     token = _OPEN.set(own)
     try:
         yield
     finally:
         _OPEN.reset(token)
-    deleted(spark, own[:-1])
+    deleted(spark, own[:-keep])
     if outer is not None:
-        outer += own[-1:]
+        outer += own[-keep:]
 
 
 def deleted(spark: SparkSession, paths: list[str]) -> None:

@@ -5,11 +5,11 @@ A document's set is its distinct 5-word shingles.  Equal sets form one class, wh
 signatures are compared batch by batch, and the pair is pruned once the posterior probability of a similarity of
 ``SIMILAR`` or more falls below ``MISS``; survivors are verified on their full sets.
 
-No bucket is expanded into all its pairs.  In each of a few turns every class is compared with one other at most, the
-pivot of most of its buckets; links join classes into components, and turns go on while they link any.  Only members
-of one bucket that are still in different components meet afterwards, block by block: the pivots of a block, none of
-them in their bucket's largest component, meet all such members and leave the bucket.  A pair that never met is in one
-component already, so that no component depends on it.
+No bucket is expanded into all its pairs.  In the first turns a bucket's members meet its hub, the class that shares
+most buckets with others: near copies are linked through what they were copied from.  Links join classes into
+components, and only members of one bucket that are still in different components meet afterwards, block by block:
+the pivots of a block, none of them in their bucket's largest component, meet all such members and leave the bucket.
+Blocks double.  A pair that never met is in one component already, so that no component depends on it.
 
 Edge cases.  Null and empty texts, and texts without words, have empty sets and are linked with nothing, not even each
 other; a null id counts as larger than any other, and a component of null ids only has a null id; rows that repeat an
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import exact, salted_left_join, scratch, slices, written
@@ -34,8 +34,8 @@ SHINGLE, SIMILAR = 5, 0.75
 BANDS, ROWS = 80, 7
 #: Minima kept for verification, a byte each; compared so many at a time; least posterior probability of a link.
 KEPT, STEP, MISS = 256, 32, 1e-7
-#: Pairs for each member of a bucket with which the blocks of pivots begin.
-PAIRS = 4
+#: Turns of a hub a bucket; pairs for each row of a bucket with which the blocks of pivots begin.
+HUBS, PAIRS = 3, 4
 SETS = "doc_id decimal(20,0), text_key long, class binary, n_shingles long, bands array<long>, signature binary"
 EDGES = "a binary, b binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -238,63 +238,66 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(joined, "root", "left").select("class", F.coalesce("onto", "root").alias("root")), "roots")
 
 
-def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, class, root) of the buckets whose members are in several components."""
-    rows = shared.join(roots, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    return rows.join(several, "bucket")
+    named = rows.select("bucket", "class").join(roots, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return named.join(several, "bucket")
 
 
-def one_each(rows: DataFrame, turn: int) -> DataFrame:
-    """A pair a class at most: with the pivot that most of its buckets have this turn, if that is in another component."""
-    least = F.col("class") if not turn else F.xxhash64("class", F.lit(turn))
-    pivots = rows.groupBy("bucket").agg(F.min(F.struct(least.alias("by"), F.col("class").alias("pivot"), F.col("root").alias("onto"))).alias("p")).select("bucket", "p.pivot", "p.onto")
-    met = rows.join(pivots, "bucket").where("root != onto").groupBy("class", "pivot").agg(F.count("*").alias("n"))
-    best = met.groupBy("class").agg(F.max(F.struct("n", "pivot")).alias("best"))
-    return best.select(F.least("class", "best.pivot").alias("a"), F.greatest("class", "best.pivot").alias("b")).distinct()
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def all_of(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def meet_hubs(rows: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's most central class with its members of other components, and the rows without it."""
+    hub = F.max(F.struct("central", F.col("class").alias("hub"), F.col("root").alias("onto"))).alias("h")
+    hubs = rows.join(central, "class").groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.onto")
+    met = written(rows.join(hubs, "bucket"), "met")
+    return met.where("root != onto").select(*_pair("class", "hub")).distinct(), met.where("class != hub")
+
+
+def meet_all(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of the pivots of each bucket with its members of other components, and the rows that are no pivots.
 
-    All members outside a bucket's largest component are pivots where this makes ``most`` pairs at most, else a share of them.
+    All members outside a bucket's largest component are pivots where this makes ``most`` pairs at most, else a share of
+    them.  A pair meets in the first bucket that it shares, and in no other: each row knows its class's buckets before.
     """
     sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
-    largest = written(sizes.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("bucket", F.col("top.root").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
+    largest = sizes.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    largest = written(largest.select("bucket", F.col("top.root").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
     share = min(1.0, most / max(1, largest.agg(F.sum("pairs")).collect()[0][0] or 0))
     chosen = (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("class", F.lit("pivot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    marked = written(rows.join(largest.select("bucket", "top"), "bucket").select("bucket", "class", "root", chosen.alias("pivot")), "marked")
-    x, y = marked.where("pivot").select("bucket", F.col("class").alias("x"), F.col("root").alias("rx")), marked.select("bucket", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("pivot").alias("both"))
-    pairs = x.join(y, "bucket").where("rx != ry AND (NOT both OR x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), marked.where("NOT pivot").select("bucket", "class")
+    own = rows.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # BANDS at most
+    before = F.filter("own", lambda x: x < F.col("bucket"))
+    marked = written(rows.join(largest.select("bucket", "top"), "bucket").join(own, "class").select("bucket", "class", "root", chosen.alias("pivot"), before.alias("before")), "marked")
+    side = lambda x: marked.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "pivot", "before")])
+    once = F.col("x_pivot") & (F.col("x_root") != F.col("y_root")) & (~F.col("y_pivot") | (F.col("x_class") < F.col("y_class"))) & ~F.arrays_overlap("x_before", "y_before")
+    pairs = side("x").alias("x").where("x_pivot").join(side("y").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & once)
+    return pairs.select(*_pair("x_class", "y_class")), marked.where("NOT pivot").select("bucket", "class")
 
 
 def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
     """(class, root, first) of all classes: the component's smallest class, and its smallest document."""
+    spark = documents.sparkSession
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("stands")
     classes = written(signed_docs.where("n_shingles > 0").groupBy("class").agg(stands, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "class")
-    buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
-    shared = written(members.join(buckets.select("bucket"), "bucket"), "shared")
-    met = shared.select("class").distinct()
-    sets = written(full_sets(met, classes, documents), "sets")
-    signatures = written(classes.join(met, "class", "left_semi").select("class", "signature"), "signatures")
-    roots = written(met.limit(0).select("class", F.col("class").alias("root")), "roots")
-
-    def linked(pairs: DataFrame) -> DataFrame | None:
-        links = written(verified(survivors(pairs, signatures), sets), "links")
-        return links if links.head(1) else None
-
-    turn = 0
-    while (links := linked(one_each(apart(shared, roots), turn))) is not None:  # while a pair a class still links any
-        roots, turn = merged(roots, links), turn + 1
-    rows = written(apart(shared, roots), "apart")
-    most = PAIRS * rows.count()
-    while rows.head(1):  # then all pairs that are left, by blocks of pivots which double
-        pairs, rest = all_of(rows, most)
-        if (links := linked(pairs)) is not None:
-            roots = merged(roots, links)
-        rows, most = written(apart(rest, roots), "apart"), 2 * most
+    buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low != high")
+    shared = written(members.join(buckets.select("bucket", "n"), "bucket"), "shared")
+    central = written(shared.groupBy("class").agg(F.sum("n").alias("central")), "central")
+    sets = written(full_sets(central.select("class"), classes, documents), "sets")
+    signatures = written(classes.join(central, "class", "left_semi").select("class", "signature"), "signatures")
+    roots = written(central.limit(0).select("class", F.col("class").alias("root")), "roots")
+    rows, turn, most = written(apart(shared, roots), "apart"), 0, 0
+    while rows.head(1):
+        with scratch(spark, keep=2):
+            pairs, rest = meet_hubs(rows, central) if turn < HUBS else meet_all(rows, most)
+            links = written(verified(survivors(pairs, signatures), sets), "links")
+            roots = merged(roots, links) if links.head(1) else roots
+            rows = written(apart(rest, roots), "apart")
+        turn += 1
+        most = PAIRS * rows.count() if turn == HUBS else 2 * most
     of_root = roots.join(classes.select("class", "stands"), "class").groupBy("root").agg(F.min("stands").alias("first"))
     named = salted_left_join(roots, of_root, ["root"], F.col("class"), 8)
     return classes.select("class", "stands").join(named, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("first", "stands").alias("first"))
