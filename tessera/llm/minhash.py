@@ -9,6 +9,7 @@ No bucket is expanded into all its pairs.  In the first turns a bucket's members
 most buckets with others: near copies are linked through what they were copied from.  Links join classes into
 components, and only members of one bucket that are still in different components meet afterwards, block by block:
 the pivots of a block, none of them in their bucket's largest component, meet all such members and leave the bucket.
+Their signatures are compared inside the tasks that hold a bucket, and only pairs that are not pruned become rows.
 Blocks double.  A pair that never met is in one component already, so that no component depends on it.
 
 Edge cases.  Null and empty texts, and texts without words, have empty sets and are linked with nothing, not even each
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import exact, salted_left_join, scratch, slices, written
@@ -33,9 +34,9 @@ SHINGLE, SIMILAR = 5, 0.75
 #: 1 - (1 - 0.75 ** 7) ** 80: a pair at the threshold shares no bucket with probability 1e-5.
 BANDS, ROWS = 80, 7
 #: Minima kept for verification, a byte each; compared so many at a time; least posterior probability of a link.
-KEPT, STEP, MISS = 256, 32, 1e-7
-#: Turns of a hub a bucket; pairs for each row of a bucket with which the blocks of pivots begin.
-HUBS, PAIRS = 3, 4
+KEPT, STEP, MISS = 512, 32, 1e-6
+#: Turns of a hub a bucket; pairs for each row of a bucket with which the blocks of pivots begin; members of a piece.
+HUBS, PAIRS, PIECE = 3, 50, 1000
 SETS = "doc_id decimal(20,0), text_key long, class binary, n_shingles long, bands array<long>, signature binary"
 EDGES = "a binary, b binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,6 +154,16 @@ def least_matches() -> list[int]:
     return out
 
 
+def unpruned(signatures: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:
+    """Places of the pairs (i, j) of rows that no batch of their signatures prunes."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, bound in enumerate(least):
+        cut = signatures[:, k * STEP : (k + 1) * STEP]
+        matches[alive] += (cut[i[alive]] == cut[j[alive]]).sum(axis=1)
+        alive = alive[matches[alive] >= bound]
+    return alive
+
+
 def survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that no batch of their signatures prunes."""
     least = least_matches()
@@ -161,13 +172,9 @@ def survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 20_000):
                 part = batch.iloc[k : k + 20_000]
-                a, b = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, KEPT) for c in ("sa", "sb"))
-                alive, matches = np.arange(len(part)), np.zeros(len(part), np.int64)
-                for i, bound in enumerate(least):
-                    cut = slice(i * STEP, (i + 1) * STEP)
-                    matches[alive] += (a[alive, cut] == b[alive, cut]).sum(axis=1)
-                    alive = alive[matches[alive] >= bound]
-                yield part.iloc[alive][["a", "b"]]
+                both = np.frombuffer(b"".join([*part["sa"], *part["sb"]]), np.uint8).reshape(-1, KEPT)
+                at = np.arange(len(part))
+                yield part.iloc[unpruned(both, at, at + len(part), least)][["a", "b"]]
 
     side = lambda x: classes.select(F.col("class").alias(x), F.col("signature").alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInPandas(compare, EDGES)
@@ -245,36 +252,86 @@ def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(several, "bucket")
 
 
-def _pair(x: str, y: str) -> tuple[Column, Column]:
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-
-def meet_hubs(rows: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's most central class with its members of other components, and the rows without it."""
+def meet_hubs(rows: DataFrame, central: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unpruned pairs of each bucket's most central class with its members of other components, and the rows without it."""
     hub = F.max(F.struct("central", F.col("class").alias("hub"), F.col("root").alias("onto"))).alias("h")
     hubs = rows.join(central, "class").groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.onto")
     met = written(rows.join(hubs, "bucket"), "met")
-    return met.where("root != onto").select(*_pair("class", "hub")).distinct(), met.where("class != hub")
+    pairs = met.where("root != onto").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    return survivors(pairs, signatures), met.where("class != hub")
+
+
+def survivors_within(rows: DataFrame) -> DataFrame:
+    """Unpruned pairs of a pivot and a member of another component in one (bucket, piece), whose signatures meet in the task.
+
+    A pivot stands in all pieces of its bucket, at home in one, other members in one.  A pair is given in the first bucket
+    that it shares, and in no other: ``before`` has a class's buckets before this one.
+    """
+    least = least_matches()
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        group = (part["bucket"].ne(part["bucket"].shift()) | part["piece"].ne(part["piece"].shift())).cumsum().to_numpy()
+        signatures = np.frombuffer(b"".join(part["signature"]), np.uint8).reshape(-1, KEPT)
+        root, own = (pd.factorize(part[c], sort=True)[0] for c in ("root", "class"))
+        pivot, home, before = part["pivot"].to_numpy(bool), part["home"].to_numpy(bool), [set(x) for x in part["before"]]
+        names, found = part["class"].to_numpy(), []
+
+        def compared(i: np.ndarray, j: np.ndarray) -> None:
+            for k in unpruned(signatures, i, j, least):
+                if before[i[k]].isdisjoint(before[j[k]]):
+                    x, y = names[i[k]], names[j[k]]
+                    found.append((min(x, y), max(x, y)))
+
+        held, size = [], 0
+        for k in range(1, len(part)):
+            i = np.flatnonzero(group[:-k] == group[k:])
+            if not len(i):
+                break
+            j = i + k
+            meet = lambda x, y: pivot[x] & home[y] & (~pivot[y] | (own[x] < own[y]))
+            keep = (root[i] != root[j]) & (meet(i, j) | meet(j, i))
+            held.append((i[keep], j[keep]))
+            size += int(keep.sum())
+            if size > 50_000:
+                compared(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            compared(*map(np.concatenate, zip(*held, strict=True)))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held.iloc[-1]
+            open_ = int(((held["bucket"] == last["bucket"]) & (held["piece"] == last["piece"])).sum())  # of a group that may go on
+            if len(held) - open_ >= 2048:
+                yield pairs(held.iloc[: len(held) - open_].reset_index(drop=True))
+                held = held.iloc[len(held) - open_ :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return rows.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece").mapInPandas(compare, EDGES)
 
 
-def meet_all(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the pivots of each bucket with its members of other components, and the rows that are no pivots.
+def meet_all(rows: DataFrame, signatures: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Unpruned pairs of each bucket's pivots with its members of other components, and the rows that are no pivots.
 
     All members outside a bucket's largest component are pivots where this makes ``most`` pairs at most, else a share of
-    them.  A pair meets in the first bucket that it shares, and in no other: each row knows its class's buckets before.
+    them.  Large buckets are cut into pieces, so that no bucket's members all meet in one task.
     """
     sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
     largest = sizes.agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    largest = written(largest.select("bucket", F.col("top.root").alias("top"), (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
+    largest = written(largest.select("bucket", F.col("top.root").alias("top"), "all", (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
     share = min(1.0, most / max(1, largest.agg(F.sum("pairs")).collect()[0][0] or 0))
     chosen = (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("class", F.lit("pivot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    own = rows.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # BANDS at most
-    before = F.filter("own", lambda x: x < F.col("bucket"))
-    marked = written(rows.join(largest.select("bucket", "top"), "bucket").join(own, "class").select("bucket", "class", "root", chosen.alias("pivot"), before.alias("before")), "marked")
-    side = lambda x: marked.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "pivot", "before")])
-    once = F.col("x_pivot") & (F.col("x_root") != F.col("y_root")) & (~F.col("y_pivot") | (F.col("x_class") < F.col("y_class"))) & ~F.arrays_overlap("x_before", "y_before")
-    pairs = side("x").alias("x").where("x_pivot").join(side("y").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & once)
-    return pairs.select(*_pair("x_class", "y_class")), marked.where("NOT pivot").select("bucket", "class")
+    marked = written(rows.join(largest.drop("pairs"), "bucket").select("bucket", "class", "root", chosen.alias("pivot"), F.ceil(F.col("all") / PIECE).cast("int").alias("pieces")), "marked")
+    own = marked.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # BANDS at most
+    at = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")
+    wide = marked.withColumn("at", at).withColumn("piece", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("at"))))
+    wide = wide.join(own, "class").join(signatures, "class")
+    wide = wide.select("bucket", "piece", "class", "root", "pivot", (F.col("at") == F.col("piece")).alias("home"), F.filter("own", lambda x: x < F.col("bucket")).alias("before"), "signature")
+    return survivors_within(wide), marked.where("NOT pivot").select("bucket", "class")
 
 
 def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -292,12 +349,13 @@ def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
     rows, turn, most = written(apart(shared, roots), "apart"), 0, 0
     while rows.head(1):
         with scratch(spark, keep=2):
-            pairs, rest = meet_hubs(rows, central) if turn < HUBS else meet_all(rows, most)
-            links = written(verified(survivors(pairs, signatures), sets), "links")
+            if turn >= HUBS:
+                most = 2 * most or max(1, int(PAIRS * rows.count()))
+            pairs, rest = meet_hubs(rows, central, signatures) if turn < HUBS else meet_all(rows, signatures, most)
+            links = written(verified(written(pairs, "pairs"), sets), "links")
             roots = merged(roots, links) if links.head(1) else roots
             rows = written(apart(rest, roots), "apart")
         turn += 1
-        most = PAIRS * rows.count() if turn == HUBS else 2 * most
     of_root = roots.join(classes.select("class", "stands"), "class").groupBy("root").agg(F.min("stands").alias("first"))
     named = salted_left_join(roots, of_root, ["root"], F.col("class"), 8)
     return classes.select("class", "stands").join(named, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("first", "stands").alias("first"))

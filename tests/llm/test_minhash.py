@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tessera.llm import minhash
 
 DOCS = "doc_id long, text string, class string, bucket int"
@@ -71,6 +73,25 @@ def test_against_brute_force(spark):
     assert Counter(run(spark, data)) == Counter(brute(data))
 
 
+@pytest.mark.parametrize("hubs, pairs, piece", [(0, 0.01, 3), (1, 0.3, 2), (0, 50, 1000)])
+def test_blocks_of_pivots_lose_no_link(spark, monkeypatch, hubs, pairs, piece):
+    """Small blocks over buckets in pieces, with no or one turn of hubs: copies of copies, whose ends are far apart."""
+    for name, value in (("HUBS", hubs), ("PAIRS", pairs), ("PIECE", piece)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(31)
+    data = []
+    for _ in range(2):
+        family = [[rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(70)]]
+        for _ in range(24):
+            w = list(rng.choice(family))
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(len(w))] = "new" + str(rng.random())
+            family.append(w)
+        data += [(len(data) + i, " ".join(w)) for i, w in enumerate(family)]
+    rng.shuffle(data)
+    assert Counter(run(spark, data)) == Counter(brute(data))
+
+
 def test_ties_and_nulls(spark):
     data = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f"), (None, "x y z"), (None, "x y z"), (None, ""), (2, None)]
     assert Counter(run(spark, data)) == Counter([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (2, 0, 2, True)])
