@@ -45,7 +45,7 @@ HOT, WIDTHS = 500, (48, 1)
 PIECE, ROWS = 1 << 20, 8192
 END = 255  # a byte that UTF-8 never has
 _BASE = 0x9E3779B97F4A7C15 | 1
-RUNS = "key string, start int, n int, left int, anchor long, run binary"
+RUNS = "key binary, start int, n int, left int, anchor long, run binary"
 KINDS = "anchor long, run binary, left int, data binary, twice boolean"
 MARKS = "anchor long, run binary, low int, high int"
 #: A round of a collection: the suffix order, the transform's symbols and the prefix shared with the neighbour before.
@@ -96,7 +96,7 @@ class Anchors:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select(exact("doc_id"), text.alias("text"), F.md5(text).alias("key"))
+    return documents.select(exact("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
 
 
 def found_runs(documents: DataFrame) -> DataFrame:
@@ -269,8 +269,9 @@ def _spans(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """(key, low, high) bytes that repeated windows cover; ranges of one run may touch or overlap."""
     at = F.min(F.struct("key", "start", "n", "left")).alias("at")
     kinds = shared.groupBy("anchor", "run").agg((F.count("*") > 1).alias("twice"), at).select("anchor", "run", "at.*", "twice")
-    marks = found_marks(written(_bytes(texts, kinds), "kinds"))
-    ranges = written(marks.groupBy("anchor", "run").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")  # of at most SPAN windows
+    with scratch(texts.sparkSession):
+        marks = found_marks(written(_bytes(texts, kinds), "kinds"))
+        ranges = written(marks.groupBy("anchor", "run").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")  # of at most SPAN windows
     spans = shared.join(ranges, ["anchor", "run"]).select("key", "start", F.explode("ranges").alias("r"))
     return spans.select("key", (F.col("start") + F.col("r.low")).alias("low"), (F.col("start") + F.col("r.high") - 1 + LENGTH).alias("high"))
 
@@ -279,10 +280,10 @@ def _cuts(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """What each text loses that loses anything: key, n_removed, n_spans, SHA-256 of what is left."""
     keyed = _keyed(documents)
     # Equal texts are one text; what stands twice as a whole goes as a whole.
-    runs = written(found_runs(documents), "runs").groupBy("key", "start", "n", "left", "anchor", "run").agg(F.count("*").alias("m"))
-    runs = written(runs.drop("m"), "runs")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = written(runs.join(anchors, "anchor"), "shared")
+    with scratch(documents.sparkSession):
+        runs = written(found_runs(documents), "runs").distinct()
+        anchors = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+        shared = written(runs.join(anchors, "anchor"), "shared")
     one = docs.groupBy("key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("m"), F.first("n_bytes").alias("size"))
     whole = one.where(f"m > 1 AND size >= {LENGTH}").select("key", F.lit(0).alias("low"), F.col("size").cast("int").alias("high"))
     used = shared.select("key").unionByName(whole.select("key")).distinct().join(one, "key").select(F.col("key").alias("_key"), "_id")
@@ -307,7 +308,7 @@ def _cuts(docs: DataFrame, documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "left"])
 
     of_text = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # of one text
-    return texts.join(of_text, "key").select("key", "text", "spans").mapInPandas(cut, "key string, n_removed long, n_spans long, left string").dropDuplicates(["key"])
+    return texts.join(of_text, "key").select("key", "text", "spans").mapInPandas(cut, "key binary, n_removed long, n_spans long, left string").dropDuplicates(["key"])
 
 
 def removed(documents: DataFrame) -> DataFrame:
