@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,7 +68,6 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_masked_lm": op9_masked_lm,
         "op10_quality_cnn": op10_quality_cnn,
-        "pipeline": corpus_pipeline.run,
     }
 
 
