@@ -1,4 +1,9 @@
-"""From raw documents to token records: five stages, each a table that the next one reads."""
+"""From raw documents to token records: five stages, each a table that the next one reads.
+
+Edge cases, in all stages.  An empty table gives an empty one; null and empty texts fail the base rules of the first
+stage and count as empty in the others; null ids, languages and sources are values of their own; rows that repeat an
+id and a text are one group of copies, of which one row stays; extra columns are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,27 @@ from tessera.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the outlier test keep."""
+    """Documents that the base rules and the outlier test of their language and source keep; others go."""
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest id, of equal ids one row a text; texts without words all stay."""
     return minhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no verified passage with the benchmark."""
+    """Documents that share no verified passage with the benchmark; all stay where it is empty."""
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: repeated and cut as each source's quota says."""
+    """The mix as documents: repeated and cut as each source's quota says; documents without words have no share."""
     return mixing.mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of the mix, written and read back."""
+    """Token records of the mix, written and read back: a row a document, in ascending order of ids."""
     return token_records.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
