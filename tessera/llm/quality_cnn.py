@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import exact, held_out, slices, training_sample
 
 CHUNK, STEP, WIDTH, DIM, FILTERS, HIDDEN = 128, 96, 8, 4, 16, 16
-#: Labelled documents of either class in the fit at most, their longest text, passes over them.
-MOST, LONGEST, EPOCHS, BATCH, RATE = 2000, 60_000, 14, 64, 0.01
+#: Labelled documents of either class in the fit at most, their longest text, passes over them, and steps at least.
+MOST, LONGEST, EPOCHS, LEAST_STEPS, BATCH, RATE = 2000, 60_000, 14, 500, 64, 0.01
 THRESHOLD = 0.7
 
 
@@ -107,10 +107,10 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> dict[str, np.ndarray]:
     every, first = chunks([t.encode() for t, _ in sample])
     ends = np.array([*first[1:], len(every)])
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS // -(-len(sample) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(sample))
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
             count = ends[pick] - first[pick]
