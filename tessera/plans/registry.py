@@ -104,8 +104,8 @@ def basket_lookup(spark, sf):
 
 
 @query("""WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS e, strlen(p_name) + CASE WHEN strlen(p_name) < 255 THEN 1 ELSE 5 END AS size FROM part),
-          r(e, basket, at, bytes) AS (SELECT e, 0, 1, size FROM p WHERE e = 0
-            UNION ALL SELECT p.e, basket + (bytes >= 2000)::INT, CASE WHEN bytes >= 2000 THEN 1 ELSE at + 1 END, CASE WHEN bytes >= 2000 THEN size ELSE bytes + size END FROM r JOIN p ON p.e = r.e + 1)
+          r(e, basket, k, bytes) AS (SELECT e, 0, 1, size FROM p WHERE e = 0
+            UNION ALL SELECT p.e, basket + (bytes >= 2000)::INT, CASE WHEN bytes >= 2000 THEN 1 ELSE k + 1 END, CASE WHEN bytes >= 2000 THEN size ELSE bytes + size END FROM r JOIN p ON p.e = r.e + 1)
           SELECT 0::BIGINT AS stretch, basket, min(e)::BIGINT AS first_entry, count(*) AS n_entries, max(bytes)::BIGINT AS bytes FROM r GROUP BY basket""")
 def variable_baskets(spark, sf):
     rows = columns.entries(table(spark, sf, "part"), "p_partkey")
