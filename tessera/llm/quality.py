@@ -199,11 +199,13 @@ def estimated(table: DataFrame) -> DataFrame:
     rows = members(passing)
     raw = written(starts(rows, few), "moments")
     for step in range(STEPS):
-        by = estimates(raw)
+        by = written(estimates(raw), "estimates")
         if step and (by.agg(F.max(F.abs(F.col("_q_det") - F.col("_q_before")))).collect()[0][0] or 0) < SETTLED:
             break
         raw = written(concentrated(rows, by, few), "moments")
-    best = estimates(raw).groupBy(*KEY).agg(F.min_by(F.struct("_q_start", *ESTIMATE, "_q_det"), F.struct("_q_det", "_q_start")).alias("e"))
+    else:
+        by = written(estimates(raw), "estimates")
+    best = by.groupBy(*KEY).agg(F.min_by(F.struct("_q_start", *ESTIMATE, "_q_det"), F.struct("_q_det", "_q_start")).alias("e"))
     best = best.select(*KEY, F.lit(0).alias("_q_start"), *[F.col(f"e.{c}").alias(c) for c in [*ESTIMATE, "_q_det"]])
     last = estimates(written(concentrated(rows, written(best, "best"), few, WEIGHT_CUT), "moments"))
     return written(last.where("_q_level = 2").select(F.col("_q_l").alias("_q_lang"), F.col("_q_s").alias("_q_source"), *ESTIMATE), "by_group")
