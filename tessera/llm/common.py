@@ -83,13 +83,16 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
+def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 32, parts: int | None = None) -> DataFrame:
     """Left join whose left rows of one key are dealt over ``salts`` tasks by ``spread``.
 
-    ``right`` has a row a key at most; it is repeated once a salt, so keep it narrow.
+    ``right`` has a row a key at most; it is repeated once a salt, so keep it narrow.  ``parts`` is the number of
+    partitions, where rows have been counted.
     """
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if parts:
+        salted, repeated = (x.repartition(parts, *keys, "_salt") for x in (salted, repeated))
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 

@@ -35,8 +35,10 @@ SHINGLE, SIMILAR = 5, 0.75
 BANDS, ROWS = 80, 7
 #: Minima kept for verification, a byte each; compared so many at a time; least posterior probability of a link.
 KEPT, STEP, MISS = 512, 32, 1e-6
-#: Turns of a hub a bucket; pairs for each row of a bucket with which the blocks of pivots begin; members of a piece.
+#: Turns of a hub a bucket, at most; pairs for each row of a bucket with which the blocks of pivots begin; members of a piece.
 HUBS, PAIRS, PIECE = 3, 50, 1000
+#: Links of a partition where they are joined into components.
+LINKS = 100_000
 SETS = "doc_id decimal(20,0), text_key long, class binary, n_shingles long, bands array<long>, signature binary"
 EDGES = "a binary, b binary"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -212,19 +214,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInPandas(check, EDGES)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int) -> DataFrame:
     """(class, root) of every class on an edge: the smallest class of its component, by large-star and small-star steps."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        kept = salted_left_join(both, least, ["a"], F.col("b"), 8)
+        lows = both.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(8))).repartition(parts, "a", "_salt").groupBy("a", "_salt").agg(F.min("b").alias("b"))
+        least = lows.repartition(parts, "a").groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        kept = salted_left_join(both, least, ["a"], F.col("b"), 8, parts)
         if large:
-            return kept.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+            return kept.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).repartition(parts, "a").distinct()
         down = kept.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return down.unionByName(least.select("a", F.col("least").alias("b"))).where("a != b").distinct()
+        return down.unionByName(least.select("a", F.col("least").alias("b"))).where("a != b").repartition(parts, "a").distinct()
 
-    down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(parts, "a").distinct()
     before = None
     while True:
         down = written(star(star(down, True), False), "stars")
@@ -238,27 +241,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(class, root) of all linked classes, after further links."""
-    of = lambda x: roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}"))
-    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = components(ends).select(F.col("class").alias("root"), F.col("root").alias("onto"))
-    every = roots.unionByName(joined.join(roots, joined["root"] == roots["class"], "left_anti").select(F.col("root").alias("class"), "root"))
-    return written(every.join(joined, "root", "left").select("class", F.coalesce("onto", "root").alias("root")), "roots")
+    few = links.count()
+    parts, most = (max(8, n // LINKS) for n in (few, few + roots.count()))
+    of = lambda x: roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}")).repartition(most, x)
+    ends = links.repartition(most, "a").join(of("a"), "a", "left").repartition(most, "b").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = written(components(ends, parts).select(F.col("class").alias("root"), F.col("root").alias("onto")), "joined")
+    fresh = joined.repartition(most, "root").join(roots.select(F.col("class").alias("root")).repartition(most, "root"), "root", "left_anti")
+    every = roots.unionByName(fresh.select(F.col("root").alias("class"), "root"))
+    return written(salted_left_join(every, joined, ["root"], F.col("class"), 8, most).select("class", F.coalesce("onto", "root").alias("root")), "roots")
 
 
-def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, class, root) of the buckets whose members are in several components."""
-    named = rows.select("bucket", "class").join(roots, "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    return named.join(several, "bucket")
+def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets with the roots that their classes have now."""
+    found = rows.drop("root").join(roots, "class", "left")
+    return found.select("bucket", "class", "central", F.coalesce("root", "class").alias("root"))
 
 
-def meet_hubs(rows: DataFrame, central: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unpruned pairs of each bucket's most central class with its members of other components, and the rows without it."""
+def apart(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets whose members are in several components, with the bucket's most central class and its root."""
     hub = F.max(F.struct("central", F.col("class").alias("hub"), F.col("root").alias("onto"))).alias("h")
-    hubs = rows.join(central, "class").groupBy("bucket").agg(hub).select("bucket", "h.hub", "h.onto")
-    met = written(rows.join(hubs, "bucket"), "met")
-    pairs = met.where("root != onto").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    return survivors(pairs, signatures), met.where("class != hub")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low != high")
+    return rows.join(several.select("bucket", "h.hub", "h.onto"), "bucket")
+
+
+def meet_hubs(rows: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unpruned pairs of each bucket's hub with its members of other components, and the rows without it."""
+    pairs = rows.where("root != onto").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    return survivors(pairs, signatures), rows.where("class != hub").drop("hub", "onto")
 
 
 def survivors_within(rows: DataFrame) -> DataFrame:
@@ -325,13 +335,13 @@ def meet_all(rows: DataFrame, signatures: DataFrame, most: int) -> tuple[DataFra
     largest = written(largest.select("bucket", F.col("top.root").alias("top"), "all", (F.col("all") * (F.col("all") - F.col("top.n"))).alias("pairs")), "largest")
     share = min(1.0, most / max(1, largest.agg(F.sum("pairs")).collect()[0][0] or 0))
     chosen = (F.col("root") != F.col("top")) & (F.pmod(F.xxhash64("class", F.lit("pivot")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    marked = written(rows.join(largest.drop("pairs"), "bucket").select("bucket", "class", "root", chosen.alias("pivot"), F.ceil(F.col("all") / PIECE).cast("int").alias("pieces")), "marked")
+    marked = written(rows.join(largest.drop("pairs"), "bucket").select("bucket", "class", "central", "root", chosen.alias("pivot"), F.ceil(F.col("all") / PIECE).cast("int").alias("pieces")), "marked")
     own = marked.groupBy("class").agg(F.sort_array(F.collect_list("bucket")).alias("own"))  # BANDS at most
     at = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")
     wide = marked.withColumn("at", at).withColumn("piece", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("at"))))
     wide = wide.join(own, "class").join(signatures, "class")
     wide = wide.select("bucket", "piece", "class", "root", "pivot", (F.col("at") == F.col("piece")).alias("home"), F.filter("own", lambda x: x < F.col("bucket")).alias("before"), "signature")
-    return survivors_within(wide), marked.where("NOT pivot").select("bucket", "class")
+    return survivors_within(wide), marked.where("NOT pivot").select("bucket", "class", "central", "root")
 
 
 def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -346,19 +356,24 @@ def linked_classes(signed_docs: DataFrame, documents: DataFrame) -> DataFrame:
     sets = written(full_sets(central.select("class"), classes, documents), "sets")
     signatures = written(classes.join(central, "class", "left_semi").select("class", "signature"), "signatures")
     roots = written(central.limit(0).select("class", F.col("class").alias("root")), "roots")
-    rows, turn, most = written(apart(shared, roots), "apart"), 0, 0
+    rows = written(apart(shared.join(central, "class").select("bucket", "class", "central", F.col("class").alias("root"))), "apart")
+    turn, most = 0, 0
     while rows.head(1):
         with scratch(spark, keep=2):
             if turn >= HUBS:
                 most = 2 * most or max(1, int(PAIRS * rows.count()))
-            pairs, rest = meet_hubs(rows, central, signatures) if turn < HUBS else meet_all(rows, signatures, most)
+            pairs, rest = meet_hubs(rows, signatures) if turn < HUBS else meet_all(rows, signatures, most)
             links = written(verified(written(pairs, "pairs"), sets), "links")
-            roots = merged(roots, links) if links.head(1) else roots
-            rows = written(apart(rest, roots), "apart")
+            if links.head(1):
+                roots = merged(roots, links)
+                rest = named(rest, roots)
+            else:
+                turn = HUBS  # blocks of pivots find what is left sooner
+            rows = written(apart(rest), "apart")
         turn += 1
     of_root = roots.join(classes.select("class", "stands"), "class").groupBy("root").agg(F.min("stands").alias("first"))
-    named = salted_left_join(roots, of_root, ["root"], F.col("class"), 8)
-    return classes.select("class", "stands").join(named, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("first", "stands").alias("first"))
+    placed = salted_left_join(roots, of_root, ["root"], F.col("class"), 8)
+    return classes.select("class", "stands").join(placed, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("first", "stands").alias("first"))
 
 
 def decided(documents: DataFrame) -> DataFrame:
