@@ -227,10 +227,10 @@ def components(edges: DataFrame, parts: int) -> DataFrame:
         down = kept.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         return down.unionByName(least.select("a", F.col("least").alias("b"))).where("a != b").repartition(parts, "a").distinct()
 
-    down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(parts, "a").distinct()
+    down = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(parts, "a").distinct(), "edges")
     before = None
     while True:
-        down = written(star(star(down, True), False), "stars")
+        down = written(star(written(star(down, True), "stars"), False), "stars")
         state = down.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if state == before:
             break
