@@ -67,6 +67,19 @@ def test_hot_anchors_and_short_pieces(spark, monkeypatch, widths):
     check(spark, list(enumerate(texts())))
 
 
+def test_a_range_a_run(spark):
+    """Runs whose windows repeat in many places still give one range each, and all covered bytes."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choices("abcd", k=n))
+    core = next(t for t in iter(lambda: make(560), None) if len(list(suffix_dedup.Anchors().runs([t.encode()]))) == 1)
+    rows = list(enumerate([core, core[:450] + make(110), make(130) + core[130:]]))  # windows 51 to 129 stand once
+    df = spark.createDataFrame([(i, t, "k", 3) for i, t in rows], DOCS)
+    runs = suffix_dedup.found_runs(df).cache()
+    found = suffix_dedup._spans(suffix_dedup._keyed(df).select("key", "text"), runs).groupBy("key").count().collect()
+    assert len(found) == 3 and {r["count"] for r in found} == {1}
+    check(spark, rows)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], DOCS)).count() == 0
 
