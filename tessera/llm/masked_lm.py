@@ -114,8 +114,8 @@ def tokens(documents: DataFrame, frequent: list[bytes], known: dict[bytes, int])
                     words = pieces(t)
                     ids.append(np.fromiter(map(place.__getitem__, words), "<u2", len(words)).tobytes())
                     found = list(map(scores.get, words))
-                    rest.append([w for w, x in zip(words, found, strict=True) if x is None])
-                    sums.append(sum(x for x in found if x))
+                    rest.append([w for w, x in zip(words, found, strict=True) if x is None] if None in found else [])
+                    sums.append(sum(filter(None, found)))
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "ids": ids, "score": sums, "rest": rest})
 
     rows = documents.select(exact("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -188,27 +188,28 @@ def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 _AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _weighed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits, in place, and their sums by row; rows are shifted by their maxima where any logit is large."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _by_class(of: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """The rows of each class of several words, and its first token and end."""
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+def _by_class(of: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """The rows of each class of several words, where rows are in the order of their classes, and its first token and end."""
+    edges = np.searchsorted(of, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(edges)):
         low, high = int(ends[c - 1]) if c else 1, int(ends[c])
         if high - low > 1:
-            yield order[edges[c] : edges[c + 1]], low, high
+            yield slice(int(edges[c]), int(edges[c + 1])), low, high
 
 
 def train(p: dict, ends: np.ndarray, batches: Iterator[list[np.ndarray]], rate: float, phase: int) -> int:
     """Adam over masked positions in place; returns how many positions it saw."""
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    moments = {k: (np.zeros_like(v), np.zeros_like(v), np.empty_like(v)) for k, v in p.items()}
     g, kinds, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, class_of(ends), 0, 0
+    every, ones = np.arange(BATCH), np.ones(BATCH, np.float32)
     for docs in batches:
         data, places, n = contexts(docs)
         within = np.arange(len(places)) - np.repeat(np.cumsum(n) - n, n)
@@ -216,50 +217,76 @@ def train(p: dict, ends: np.ndarray, batches: Iterator[list[np.ndarray]], rate:
         order = np.random.default_rng(len(masked)).permutation(masked)
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
-            around, target, m = data[at[:, None] + _AROUND], data[at], len(at)
+            at = at[np.argsort(kinds[data[at]], kind="stable")]
+            around, target, m = data[at[:, None] + _AROUND], data[at].astype(np.int64), len(at)
             of = kinds[target]
             x = p["e"][around].reshape(m, -1)
             h = np.tanh(x @ p["w1"].reshape(-1, HIDDEN) + p["b1"])
-            d = _softmax(h @ p["w2"] + p["b2"])
-            d[np.arange(m), of] -= 1
-            g["w2"], g["b2"], dh = h.T @ d, d.sum(axis=0), d @ p["w2"].T
+            z = h @ p["w2"]
+            z += p["b2"]
+            d, total = _weighed(z)
+            d *= (1 / total)[:, None]
+            d[every[:m], of] -= 1
+            g["w2"], g["b2"], dh = (d.T @ h).T.copy(), ones[:m] @ d, d @ p["w2"].T
             g["u"][:], g["bu"][:] = 0, 0
             for rows, low, high in _by_class(of, ends):
-                own = h[rows]
-                d = _softmax(own @ p["u"][low:high].T + p["bu"][low:high])
-                d[np.arange(len(rows)), target[rows].astype(np.int64) - low] -= 1
-                dh[rows] += d @ p["u"][low:high]
-                g["u"][low:high], g["bu"][low:high] = d.T @ own, d.sum(axis=0)
+                own, u = h[rows], p["u"][low:high]
+                z = own @ u.T
+                z += p["bu"][low:high]
+                d, total = _weighed(z)
+                d *= (1 / total)[:, None]
+                d[every[: len(d)], target[rows] - low] -= 1
+                dh[rows] += d @ u
+                g["u"][low:high], g["bu"][low:high] = d.T @ own, ones[: len(d)] @ d
             dh *= 1 - h * h
             g["w1"], g["b1"] = (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN), dh.sum(axis=0)
             dx, to = (dh @ p["w1"].reshape(-1, HIDDEN).T).reshape(-1, DIM), around.ravel()
             for j in range(DIM):
                 g["e"][:, j] = np.bincount(to, dx[:, j], V)
             step, seen = step + 1, seen + m
-            scale = np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * rate
-            for name, grad in g.items():
-                grad /= m
-                first, second = moments[name]
-                first += 0.1 * (grad - first)
-                second += 0.01 * (grad * grad - second)
-                p[name] -= (scale * first / (np.sqrt(second) + 1e-6)).astype(np.float32)
+            scale = float(np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * rate)
+            for name, grad in g.items():  # in place: temporaries of this size cost more than the sums
+                grad *= 1 / m
+                first, second, spare = moments[name]
+                np.subtract(grad, first, out=spare)
+                spare *= 0.1
+                first += spare
+                np.multiply(grad, grad, out=spare)
+                spare -= second
+                spare *= 0.01
+                second += spare
+                np.sqrt(second, out=spare)
+                spare += 1e-6
+                np.divide(first, spare, out=spare)
+                spare *= scale
+                p[name] -= spare
     return seen
 
 
-def log_probabilities(p: dict, ends: np.ndarray, docs: list[np.ndarray], at_once: int = 8192) -> np.ndarray:
+def log_probabilities(p: dict, ends: np.ndarray, docs: list[np.ndarray], at_once: int = 32768) -> np.ndarray:
     """Sum over each document's tokens of the log-probability given both sides."""
     data, places, n = contexts(docs)
     near, kinds = [p["e"] @ w for w in p["w1"]], class_of(ends)
-    each = np.empty(len(places))
+    each, every = np.empty(len(places)), np.arange(at_once)
     for k in range(0, len(places), at_once):
         at = places[k : k + at_once]
-        target = data[at]
+        order = np.argsort(kinds[data[at]], kind="stable")
+        at = at[order]
+        target = data[at].astype(np.int64)
         of = kinds[target]
-        h = np.tanh(p["b1"] + sum(x[data[at + j]] for x, j in zip(near, _AROUND, strict=True)))
-        right = _softmax(h @ p["w2"] + p["b2"])[np.arange(len(at)), of]
+        h = sum(x[data[at + j]] for x, j in zip(near, _AROUND, strict=True))
+        h += p["b1"]
+        np.tanh(h, out=h)
+        z = h @ p["w2"]
+        z += p["b2"]
+        d, total = _weighed(z)
+        right = d[every[: len(at)], of] / total
         for rows, low, high in _by_class(of, ends):
-            right[rows] *= _softmax(h[rows] @ p["u"][low:high].T + p["bu"][low:high])[np.arange(len(rows)), target[rows].astype(np.int64) - low]
-        each[k : k + at_once] = np.log(np.maximum(right, 1e-30).astype(np.float64))
+            z = h[rows] @ p["u"][low:high].T
+            z += p["bu"][low:high]
+            d, total = _weighed(z)
+            right[rows] *= d[every[: len(d)], target[rows] - low] / total
+        each[k + order] = np.log(np.maximum(right, 1e-30).astype(np.float64))
     sums = np.concatenate([[0.0], np.cumsum(each)])
     stop = np.cumsum(n)
     return sums[stop] - sums[stop - n]

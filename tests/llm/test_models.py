@@ -264,6 +264,23 @@ def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
     assert score(df.repartition(2)) == score(df.repartition(7, "text"))
 
 
+def test_language_model_scores_alike_in_any_blocks():
+    """Sorting a block's positions by class, and leaving out the shift of small logits, change no score."""
+    rng = np.random.default_rng(8)
+    for scale in (1, 400):
+        z = (rng.standard_normal((50, 9)) * scale).astype(np.float32)
+        d, total = masked_lm._weighed(z.copy())
+        e = np.exp(z.astype(np.float64) - z.max(axis=1, keepdims=True))
+        assert np.allclose(d / total[:, None], e / e.sum(axis=1, keepdims=True), atol=1e-5)
+    counts = np.array([0, *range(masked_lm.FREQUENT, 0, -1), *[5] * masked_lm.RARE], float)
+    ends = masked_lm.class_ends(counts)
+    p = masked_lm.fresh(counts, ends)
+    docs = [rng.integers(1, masked_lm.V, n).astype("<u2") for n in (3, 0, 90, 41)]
+    whole = masked_lm.log_probabilities(p, ends, docs)
+    assert np.allclose(masked_lm.log_probabilities(p, ends, docs, 7), whole, rtol=1e-5)
+    assert np.allclose([masked_lm.log_probabilities(p, ends, [d])[0] for d in docs], whole, rtol=1e-5) and whole[1] == 0
+
+
 def test_models_average_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "FAN_IN", 3)
     rows = [(i, 1 + i % 3, np.full(4, i, "<f4").tobytes()) for i in range(20)]
