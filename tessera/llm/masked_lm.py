@@ -19,27 +19,31 @@ scores; an empty table gives an empty result.  Other columns are ignored, whatev
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import exact, scratch, slices, written
+from tessera.llm.common import exact, scratch, text_slices, written
 
 FREQUENT, CLASSES, RARE, SIDE, DIM, HIDDEN = 8192, 96, 32, 2, 16, 32
 V, SYMBOLS = 1 + FREQUENT + RARE, CLASSES + RARE  # token 0 stands beyond a document's ends
 RATES, BATCH, PART = (0.01, 0.004), 4096, 2_000_000
 STRIDE = len(RATES)
-#: Models that one task averages; words that a task counts or keeps before it begins anew.
-FAN_IN, KEPT_WORDS = 16, 300_000
+#: Classes whose words are predicted in one step.
+TOGETHER = 8
+#: Models that one task averages; words that a task counts before it begins anew; bytes of text that it splits at a time.
+FAN_IN, KEPT_WORDS, SLICE = 16, 300_000, 2_000_000
 #: Words, the most frequent ones, whose log-probabilities within their classes are sent to all tasks; parts of one as whole numbers.
 KNOWN, UNIT = 200_000, 1e-9
 
 _TABLE = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
+_CRC = np.array([zlib.crc32(bytes([255 - b])) ^ 0xFF000000 for b in range(256)], np.uint32)  # the table of CRC-32
 
 
 def pieces(text: str) -> list[bytes]:
@@ -47,23 +51,58 @@ def pieces(text: str) -> list[bytes]:
     return text.lower().encode().translate(_TABLE).split()
 
 
+def split(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The ``pieces`` of all texts, each distinct word once in the dictionary, and how many each text has."""
+    parts = [t.lower().encode().translate(_TABLE) for t in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin = edges[::2]
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(_offsets(edges[1::2] - begin)), pa.py_buffer(data[inside])])
+    stop = np.searchsorted(begin, np.cumsum([1 + len(x) for x in parts]))
+    return words.dictionary_encode(), np.diff(stop, prepend=0)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def ending_classes(words: pa.BinaryArray) -> np.ndarray:
+    """CRC-32 of each word's last three bytes, modulo ``RARE``."""
+    data, ends = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1] or bytes(4), np.int32)[words.offset :][: len(words) + 1]
+    crc, size = np.full(len(words), 0xFFFFFFFF, np.uint32), np.diff(ends)
+    for k in (3, 2, 1):
+        has = size >= k
+        crc[has] = _CRC[(crc[has] ^ data[ends[1:][has] - k]) & 255] ^ (crc[has] >> 8)
+    return (~crc % RARE).astype(np.uint16)
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """How often each word stands in the whole corpus."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in slices(texts, 1_000_000):
-                for t in texts[part]:
-                    seen.update(pieces(t))
-                if len(seen) > KEPT_WORDS:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            for part in text_slices(batch, SLICE):
+                words, _ = split(part.column("text").to_pylist())
+                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).astype(np.int64)
+                held.append(pa.table({"word": words.dictionary, "n": n}))
+                size += len(n)
+                if size > 2 * KEPT_WORDS:
+                    held = [merged()]
+                    size = held[0].num_rows
+                    if size > KEPT_WORDS:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from merged().to_batches()
 
     rows = documents.select(F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_scores(counts: DataFrame, frequent: list[bytes]) -> tuple[DataFrame, np.ndarray]:
@@ -94,32 +133,32 @@ def known_scores(scores: DataFrame) -> tuple[dict[bytes, int], int]:
 
 def tokens(documents: DataFrame, frequent: list[bytes], known: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids, score, rest): two bytes for each word, the sum of the ``known`` scores, and all words without one."""
-    vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
-    shared = documents.sparkSession.sparkContext.broadcast(known | dict.fromkeys(frequent, 0))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        class Kept(dict):
-            def __missing__(self, w: bytes) -> int:
-                self[w] = out = 1 + FREQUENT + zlib.crc32(w[-3:]) % RARE
-                return out
-
-        place, scores = Kept(vocabulary), shared.value
+    words = pa.array([*frequent, *known], pa.binary())
+    # One entry more than words: that of the words which are not among them.
+    token = np.concatenate([np.arange(1, len(frequent) + 1), np.zeros(len(known) + 1)]).astype(np.uint16)
+    score = np.array([*[0] * len(frequent), *known.values(), 0], np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast((words, token, score))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, token, score = shared.value
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in slices(texts, 1_000_000):
-                ids, sums, rest = [], [], []
-                for t in texts[part]:
-                    if len(place) > KEPT_WORDS:
-                        place = Kept(vocabulary)
-                    words = pieces(t)
-                    ids.append(np.fromiter(map(place.__getitem__, words), "<u2", len(words)).tobytes())
-                    found = list(map(scores.get, words))
-                    rest.append([w for w, x in zip(words, found, strict=True) if x is None] if None in found else [])
-                    sums.append(sum(filter(None, found)))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "ids": ids, "score": sums, "rest": rest})
+            parts = [(part.column("doc_id"), *split(part.column("text").to_pylist())) for part in text_slices(batch, SLICE)]
+            every = pa.chunked_array([found.dictionary for _, found, _ in parts], pa.binary())
+            places, start = pc.index_in(every, value_set=words).fill_null(len(words)).to_numpy(), 0  # one look-up table a batch
+            for doc_id, found, n in parts:
+                own, at = found.dictionary, found.indices.to_numpy()
+                place = places[start : start + len(own)]
+                start += len(own)
+                ids = token[place]
+                ids = np.where(ids > 0, ids, 1 + FREQUENT + ending_classes(own)).astype("<u2")[at]
+                sums = np.concatenate([[0], np.cumsum(score[place][at])])
+                stop, other = np.cumsum(n), np.flatnonzero((place == len(words))[at])
+                rest = pa.ListArray.from_arrays(np.concatenate([[0], np.searchsorted(other, stop)]).astype(np.int32), own.take(pa.array(at[other])))
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(_offsets(2 * n)), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "ids": packed, "score": sums[stop] - sums[stop - n], "rest": rest})
 
     rows = documents.select(exact("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(encode, "doc_id decimal(20,0), ids binary, score long, rest array<binary>")
+    return rows.mapInArrow(encode, "doc_id decimal(20,0), ids binary, score long, rest array<binary>")
 
 
 def dealt(rows: DataFrame, total: int) -> DataFrame:
@@ -188,28 +227,72 @@ def contexts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 _AROUND = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 
-def _weighed(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _large(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a logit of weights ``w``, a row a symbol, and ``b`` may be beyond 60: hidden values are between -1 and 1."""
+    return bool((np.abs(w) @ np.ones(w.shape[1], w.dtype) + np.abs(b)).max() > 60)
+
+
+def _weighed(z: np.ndarray, large: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of logits, in place, and their sums by row; rows are shifted by their maxima where any logit is large."""
-    if z.size and (z.max() > 60 or z.min() < -60):
+    if large and z.size and (z.max() > 60 or z.min() < -60):
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _by_class(of: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, int, int]]:
-    """The rows of each class of several words, where rows are in the order of their classes, and its first token and end."""
+Run = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def _runs(ends: np.ndarray) -> list[Run]:
+    """Runs of ``TOGETHER`` classes: first, end, a table with the tokens of one class a row, and which of them are its own."""
+    low, out = np.concatenate([[1], ends[:-1]]), []
+    for c in range(0, CLASSES, TOGETHER):
+        begin, end = low[c : c + TOGETHER, None], ends[c : c + TOGETHER, None]
+        tokens = begin + np.arange(max(1, (end - begin).max()))
+        out.append((c, c + len(begin), np.minimum(tokens, V - 1), tokens < end))
+    return out
+
+
+def _by_class(of: np.ndarray, runs: list[Run]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of classes that has rows, which are in the order of their classes: these rows, a table with the rows of one
+    class a row, the place of each row in it, and the run's tables of tokens.  Tables are filled up with rows and tokens of others.
+    """
     edges = np.searchsorted(of, np.arange(CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)):
-        low, high = int(ends[c - 1]) if c else 1, int(ends[c])
-        if high - low > 1:
-            yield slice(int(edges[c]), int(edges[c + 1])), low, high
+    for first, last, tokens, own in runs:
+        begin, stop = int(edges[first]), int(edges[last])
+        if stop > begin:
+            most, kind = int(np.diff(edges[first : last + 1]).max()), of[begin:stop].astype(np.intp) - first
+            table = np.minimum(edges[first:last, None] + np.arange(most), stop - 1)
+            yield slice(begin, stop), table, np.arange(begin, stop) - edges[first:last][kind] + kind * most, tokens, own
+
+
+def _logits(p: dict, h: np.ndarray, tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of tables of hidden rows and of tokens, and the tokens' weights; the probability of others' tokens is 0."""
+    u = p["u"].take(tokens, axis=0)
+    z = h @ u.swapaxes(1, 2)
+    z += np.where(own, p["bu"].take(tokens), -1e4)[:, None].astype(z.dtype)
+    return z, u
+
+
+def _tanh(h: np.ndarray) -> None:
+    """In place, by exponentials, which are vectorised on more machines."""
+    np.minimum(h, 20, out=h)  # where it is 1
+    h *= 2
+    np.exp(h, out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
 
 
 def train(p: dict, ends: np.ndarray, batches: Iterator[list[np.ndarray]], rate: float, phase: int) -> int:
-    """Adam over masked positions in place; returns how many positions it saw."""
-    moments = {k: (np.zeros_like(v), np.zeros_like(v), np.empty_like(v)) for k, v in p.items()}
+    """Adam over masked positions in place; returns how many positions it saw.
+
+    Softmaxes stay undivided: rows are divided by their sums where they are narrower, before and after the products.
+    Gradients are a tenth of a batch's mean, which is what the first moment takes of them; the second takes its square.
+    """
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     g, kinds, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, class_of(ends), 0, 0
-    every, ones = np.arange(BATCH), np.ones(BATCH, np.float32)
+    every, runs, low = np.arange(BATCH), _runs(ends), np.concatenate([[1], ends[:-1], np.arange(1 + FREQUENT, V)])
     for docs in batches:
         data, places, n = contexts(docs)
         within = np.arange(len(places)) - np.repeat(np.cumsum(n) - n, n)
@@ -218,74 +301,85 @@ def train(p: dict, ends: np.ndarray, batches: Iterator[list[np.ndarray]], rate:
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
             at = at[np.argsort(kinds[data[at]], kind="stable")]
-            around, target, m = data[at[:, None] + _AROUND], data[at].astype(np.int64), len(at)
-            of = kinds[target]
-            x = p["e"][around].reshape(m, -1)
-            h = np.tanh(x @ p["w1"].reshape(-1, HIDDEN) + p["b1"])
+            around, target, m = data[at + _AROUND[:, None]].astype(np.intp), data[at].astype(np.intp), len(at)
+            of, w1 = kinds[target], p["w1"].reshape(-1, HIDDEN)
+            x = p["e"].take(around.T, axis=0).reshape(m, -1)
+            h = x @ w1
+            h += p["b1"]
+            _tanh(h)
             z = h @ p["w2"]
             z += p["b2"]
-            d, total = _weighed(z)
-            d *= (1 / total)[:, None]
-            d[every[:m], of] -= 1
-            g["w2"], g["b2"], dh = (d.T @ h).T.copy(), ones[:m] @ d, d @ p["w2"].T
+            d, total = _weighed(z, _large(p["w2"].T, p["b2"]))
+            d.reshape(-1)[every[:m] * SYMBOLS + of] -= total
+            part = (0.1 / m / total)[:, None]
+            g["w2"], g["b2"], dh = (d.T @ (h * part)).T.copy(), part[:, 0] @ d, d @ p["w2"].T
+            dh *= part
             g["u"][:], g["bu"][:] = 0, 0
-            for rows, low, high in _by_class(of, ends):
-                own, u = h[rows], p["u"][low:high]
-                z = own @ u.T
-                z += p["bu"][low:high]
-                d, total = _weighed(z)
-                d *= (1 / total)[:, None]
-                d[every[: len(d)], target[rows] - low] -= 1
-                dh[rows] += d @ u
-                g["u"][low:high], g["bu"][low:high] = d.T @ own, ones[: len(d)] @ d
-            dh *= 1 - h * h
+            large, inside = _large(p["u"], p["bu"]), target - low[of]
+            for rows, table, place, tokens, own in _by_class(of, runs):
+                near = h.take(table, axis=0)
+                z, u = _logits(p, near, tokens, own)
+                d, total = _weighed(z.reshape(-1, z.shape[2]), large)
+                total = total[place]
+                d.reshape(-1)[place * d.shape[1] + inside[rows]] -= total
+                part = np.zeros((table.size, 1), h.dtype)
+                part[place, 0] = own_part = 0.1 / m / total
+                dh[rows] += (z @ u).reshape(-1, HIDDEN)[place] * own_part[:, None]
+                part = part.reshape(*table.shape, 1)
+                near *= part
+                words = slice(tokens[0, 0], tokens[0, 0] + np.count_nonzero(own))
+                g["u"][words], g["bu"][words] = (z.swapaxes(1, 2) @ near)[own], (part.swapaxes(1, 2) @ z)[:, 0][own]
+            h *= h
+            np.subtract(1, h, out=h)
+            dh *= h
             g["w1"], g["b1"] = (x.T @ dh).reshape(2 * SIDE, DIM, HIDDEN), dh.sum(axis=0)
-            dx, to = (dh @ p["w1"].reshape(-1, HIDDEN).T).reshape(-1, DIM), around.ravel()
+            dx, to = (w1 @ dh.T).reshape(2 * SIDE, DIM, m).swapaxes(0, 1).astype(np.float64), around.ravel()
             for j in range(DIM):
-                g["e"][:, j] = np.bincount(to, dx[:, j], V)
+                g["e"][:, j] = np.bincount(to, dx[j].ravel(), V)
             step, seen = step + 1, seen + m
             scale = float(np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * rate)
             for name, grad in g.items():  # in place: temporaries of this size cost more than the sums
-                grad *= 1 / m
-                first, second, spare = moments[name]
-                np.subtract(grad, first, out=spare)
-                spare *= 0.1
-                first += spare
-                np.multiply(grad, grad, out=spare)
-                spare -= second
-                spare *= 0.01
-                second += spare
-                np.sqrt(second, out=spare)
-                spare += 1e-6
-                np.divide(first, spare, out=spare)
-                spare *= scale
-                p[name] -= spare
+                first, second = moments[name]
+                first *= 0.9
+                first += grad
+                grad *= grad
+                second *= 0.99
+                second += grad
+                np.sqrt(second, out=grad)
+                grad += 1e-6
+                np.divide(first, grad, out=grad)
+                grad *= scale
+                p[name] -= grad
     return seen
 
 
-def log_probabilities(p: dict, ends: np.ndarray, docs: list[np.ndarray], at_once: int = 32768) -> np.ndarray:
-    """Sum over each document's tokens of the log-probability given both sides."""
+def log_probabilities(p: dict, ends: np.ndarray, docs: list[np.ndarray], at_once: int = 32768, inner: int = 2048) -> np.ndarray:
+    """Sum over each document's tokens of the log-probability given both sides; ``inner`` rows of class logits stay in a cache."""
     data, places, n = contexts(docs)
-    near, kinds = [p["e"] @ w for w in p["w1"]], class_of(ends)
-    each, every = np.empty(len(places)), np.arange(at_once)
+    kinds, w1 = class_of(ends), p["w1"].reshape(-1, HIDDEN)
+    each, every, runs, low = np.empty(len(places)), np.arange(inner), _runs(ends), np.concatenate([[1], ends[:-1], np.arange(1 + FREQUENT, V)])
+    large, large_u = _large(p["w2"].T, p["b2"]), _large(p["u"], p["bu"])
     for k in range(0, len(places), at_once):
         at = places[k : k + at_once]
         order = np.argsort(kinds[data[at]], kind="stable")
         at = at[order]
-        target = data[at].astype(np.int64)
+        target = data[at].astype(np.intp)
         of = kinds[target]
-        h = sum(x[data[at + j]] for x, j in zip(near, _AROUND, strict=True))
-        h += p["b1"]
-        np.tanh(h, out=h)
-        z = h @ p["w2"]
-        z += p["b2"]
-        d, total = _weighed(z)
-        right = d[every[: len(at)], of] / total
-        for rows, low, high in _by_class(of, ends):
-            z = h[rows] @ p["u"][low:high].T
-            z += p["bu"][low:high]
-            d, total = _weighed(z)
-            right[rows] *= d[every[: len(d)], target[rows] - low] / total
+        h, right = np.empty((len(at), HIDDEN), w1.dtype), np.empty(len(at), w1.dtype)
+        for i in range(0, len(at), inner):
+            own = h[i : i + inner]
+            np.matmul(p["e"].take(data[at[i : i + inner, None] + _AROUND], axis=0).reshape(len(own), -1), w1, out=own)
+            own += p["b1"]
+            _tanh(own)
+            z = own @ p["w2"]
+            z += p["b2"]
+            d, total = _weighed(z, large)
+            np.divide(d.reshape(-1)[every[: len(own)] * SYMBOLS + of[i : i + inner]], total, out=right[i : i + inner])
+        inside = target - low[of]
+        for rows, table, place, tokens, own in _by_class(of, runs):
+            z, _ = _logits(p, h.take(table, axis=0), tokens, own)
+            d, total = _weighed(z.reshape(-1, z.shape[2]), large_u)
+            right[rows] *= d.reshape(-1)[place * d.shape[1] + inside[rows]] / total[place]
         each[k + order] = np.log(np.maximum(right, 1e-30).astype(np.float64))
     sums = np.concatenate([[0.0], np.cumsum(each)])
     stop = np.cumsum(n)

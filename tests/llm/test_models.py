@@ -281,6 +281,61 @@ def test_language_model_scores_alike_in_any_blocks():
     assert np.allclose([masked_lm.log_probabilities(p, ends, [d])[0] for d in docs], whole, rtol=1e-5) and whole[1] == 0
 
 
+def test_language_model_splits_many_texts_at_once(spark, monkeypatch):
+    """Words, counts, tokens and scores against ``pieces`` and dictionaries, over batches of several slices and counts that begin anew."""
+    rng = random.Random(11)
+    odd = ["", " ", "...", "a", " a b", "É x\ty--İ Σας\n", "a,b", "ß" * 70]
+    rows = [(i, rng.choice(odd) + " ".join("".join(rng.choices("aébc", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    rows += [(300, None), (None, ""), *[(400 + i, t) for i, t in enumerate(odd)]]
+    for texts in ([], *[[t] for t in odd], odd, odd[::-1]):
+        words, n = masked_lm.split(texts)
+        assert words.to_pylist() == [w for t in texts for w in masked_lm.pieces(t)] and n.tolist() == [len(masked_lm.pieces(t)) for t in texts]
+        assert masked_lm.ending_classes(words.dictionary).tolist() == [zlib.crc32(w[-3:]) % masked_lm.RARE for w in words.dictionary.to_pylist()]
+    monkeypatch.setattr(masked_lm, "SLICE", 500)
+    monkeypatch.setattr(masked_lm, "KEPT_WORDS", 60)
+    small_vocabulary(monkeypatch, 20, 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    counts = Counter(w for _, t in rows for w in masked_lm.pieces(t or ""))
+    assert {bytes(r.word): r.n for r in masked_lm.word_counts(df).collect()} == counts
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    frequent, known = order[:20], {w: -i for i, w in enumerate(order[20:50])}
+    token = {w: i + 1 for i, w in enumerate(frequent)}
+    got = Counter((r.doc_id, bytes(r.ids), r.score, tuple(map(bytes, r.rest))) for r in masked_lm.tokens(df, frequent, known).collect())
+    want = Counter()
+    for i, t in rows:
+        own = masked_lm.pieces(t or "")
+        ids = np.array([token.get(w) or 21 + zlib.crc32(w[-3:]) % masked_lm.RARE for w in own], "<u2").tobytes()
+        want[i, ids, sum(known.get(w, 0) for w in own), tuple(w for w in own if w not in token and w not in known)] += 1
+    assert got == want
+    assert masked_lm.tokens(df.limit(0), [], {}).count() == 0 and masked_lm.word_counts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 100])
+def test_language_model_predicts_runs_of_classes(monkeypatch, scale):
+    """A step over tables of classes, with classes of no and of one word and with large logits, against one position at a time."""
+    small_vocabulary(monkeypatch, 60, 11)
+    p, _ = random_model(5)
+    p["u"] *= scale
+    ends = np.array([2, 2, 9, 10, 11, 30, 31, 31, 44, 60, 61])
+    rng = np.random.default_rng(5)
+    doc = rng.integers(1, masked_lm.V, 90).astype(np.uint16)
+    plain = lambda doc, i: plain_log_probability(p, ends, doc, i)
+    assert masked_lm._large(p["u"], p["bu"]) == (scale > 1)
+    got = masked_lm.log_probabilities(p, ends, [doc, doc[:0], doc[:7]], 16, 5)
+    assert np.allclose(got, [sum(max(plain(d, i), math.log(1e-30)) for i in range(len(d))) for d in (doc, doc[:0], doc[:7])], rtol=1e-4)
+    q, zeros, made = {k: v.copy() for k, v in p.items()}, np.zeros_like, []
+    monkeypatch.setattr(masked_lm.np, "zeros_like", lambda x: made.append(zeros(x)) or made[-1])
+    assert masked_lm.train(q, ends, iter([[doc]]), 1e-9, 1) == 45
+    monkeypatch.setattr(masked_lm.np, "zeros_like", zeros)
+    first = dict(zip(q, made[0 : 2 * len(q) : 2]))
+    loss = lambda: -sum(plain(doc, i) for i in range(1, 90, 2)) / 45
+    for t in (1, 2, 8, 20, 59, 60):
+        for name, at in (("u", (t, 3)), ("bu", t), ("e", (t, 1))):
+            value = _numeric(loss, p, name, at)
+            assert abs(first[name][at] * 10 - value) < 2e-3 * max(1, abs(value)), (name, at)
+    assert not first["u"][0].any() and not first["u"][61:].any()
+
+
 def test_models_average_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "FAN_IN", 3)
     rows = [(i, 1 + i % 3, np.full(4, i, "<f4").tobytes()) for i in range(20)]
