@@ -255,15 +255,20 @@ def _runs(ends: np.ndarray) -> list[Run]:
 
 def _by_class(of: np.ndarray, runs: list[Run]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run of classes that has rows, which are in the order of their classes: these rows, a table with the rows of one
-    class a row, the place of each row in it, and the run's tables of tokens.  Tables are filled up with rows and tokens of others.
+    class a row, the place of each row in it, and the run's tables of tokens.  Tables are filled up with rows and tokens of others;
+    where a table would have over twice as many places as rows, each class of the run is a run of its own.
     """
     edges = np.searchsorted(of, np.arange(CLASSES + 1))
     for first, last, tokens, own in runs:
-        begin, stop = int(edges[first]), int(edges[last])
-        if stop > begin:
-            most, kind = int(np.diff(edges[first : last + 1]).max()), of[begin:stop].astype(np.intp) - first
-            table = np.minimum(edges[first:last, None] + np.arange(most), stop - 1)
-            yield slice(begin, stop), table, np.arange(begin, stop) - edges[first:last][kind] + kind * most, tokens, own
+        n = np.diff(edges[first : last + 1])
+        even = n.max() * len(n) <= 2 * n.sum()
+        for low, high in [(first, last)] if even else [(c, c + 1) for c in range(first, last) if n[c - first]]:
+            begin, stop, most = int(edges[low]), int(edges[high]), int(n[low - first : high - first].max())
+            if stop > begin:
+                kind, each = of[begin:stop].astype(np.intp) - low, slice(low - first, high - first)
+                table = np.minimum(edges[low:high, None] + np.arange(most), stop - 1)
+                width = int(own[each].sum(axis=1).max())
+                yield slice(begin, stop), table, np.arange(begin, stop) - edges[low:high][kind] + kind * most, tokens[each, :width], own[each, :width]
 
 
 def _logits(p: dict, h: np.ndarray, tokens: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

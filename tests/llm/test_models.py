@@ -336,6 +336,22 @@ def test_language_model_predicts_runs_of_classes(monkeypatch, scale):
     assert not first["u"][0].any() and not first["u"][61:].any()
 
 
+def test_language_model_tables_follow_the_rows(monkeypatch):
+    """A text of one word does not fill tables up for the classes beside its own; its score is the sum over its positions."""
+    small_vocabulary(monkeypatch, 60, 9)
+    p, ends = random_model(6)
+    for rows in ([0] * 500, [7] * 500, [0] * 300 + [3] * 5 + [8] * 40, [*range(9)] * 20, []):
+        of = np.sort(np.array(rows, np.uint8))
+        found = list(masked_lm._by_class(of, masked_lm._runs(ends)))
+        assert sum(x[1].size for x in found) <= 2 * len(rows)
+        assert [i for x in found for i in x[1].ravel()[x[2]]] == list(range(len(rows)))
+        assert all(t < ends[of[i]] for x in found for i, t in zip(range(x[0].start, x[0].stop), x[3][x[2] // x[1].shape[1], 0]))
+    doc = np.full(700, 59, np.uint16)
+    total = sum(plain_log_probability(p, ends, doc, i) for i in range(len(doc)))
+    assert abs(masked_lm.log_probabilities(p, ends, [doc])[0] - total) < 1e-3 * abs(total)
+    assert masked_lm.train({k: v.copy() for k, v in p.items()}, ends, iter([[doc]]), 1e-3, 0) == 350
+
+
 def test_models_average_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "FAN_IN", 3)
     rows = [(i, 1 + i % 3, np.full(4, i, "<f4").tobytes()) for i in range(20)]
