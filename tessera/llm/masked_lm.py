@@ -35,8 +35,8 @@ FREQUENT, CLASSES, RARE, SIDE, DIM, HIDDEN = 8192, 96, 32, 2, 16, 32
 V, SYMBOLS = 1 + FREQUENT + RARE, CLASSES + RARE  # token 0 stands beyond a document's ends
 RATES, BATCH, PART = (0.01, 0.004), 4096, 2_000_000
 STRIDE = len(RATES)
-#: Classes whose words are predicted in one step.
-TOGETHER = 8
+#: Classes whose words are predicted in one step; logits up to which their table may be uneven.
+TOGETHER, UNEVEN = 8, 1 << 18
 #: Models that one task averages; words that a task counts before it begins anew; bytes of text that it splits at a time.
 FAN_IN, KEPT_WORDS, SLICE = 16, 300_000, 2_000_000
 #: Words, the most frequent ones, whose log-probabilities within their classes are sent to all tasks; parts of one as whole numbers.
@@ -256,12 +256,12 @@ def _runs(ends: np.ndarray) -> list[Run]:
 def _by_class(of: np.ndarray, runs: list[Run]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run of classes that has rows, which are in the order of their classes: these rows, a table with the rows of one
     class a row, the place of each row in it, and the run's tables of tokens.  Tables are filled up with rows and tokens of others;
-    where a table would have over twice as many places as rows, each class of the run is a run of its own.
+    where a large table would have over twice as many places as rows, each class of the run is a run of its own.
     """
     edges = np.searchsorted(of, np.arange(CLASSES + 1))
     for first, last, tokens, own in runs:
         n = np.diff(edges[first : last + 1])
-        even = n.max() * len(n) <= 2 * n.sum()
+        even = n.max() * len(n) <= max(2 * n.sum(), UNEVEN // tokens.shape[1])
         for low, high in [(first, last)] if even else [(c, c + 1) for c in range(first, last) if n[c - first]]:
             begin, stop, most = int(edges[low]), int(edges[high]), int(n[low - first : high - first].max())
             if stop > begin:

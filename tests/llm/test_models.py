@@ -340,6 +340,7 @@ def test_language_model_tables_follow_the_rows(monkeypatch):
     """A text of one word does not fill tables up for the classes beside its own; its score is the sum over its positions."""
     small_vocabulary(monkeypatch, 60, 9)
     p, ends = random_model(6)
+    monkeypatch.setattr(masked_lm, "UNEVEN", 0)
     for rows in ([0] * 500, [7] * 500, [0] * 300 + [3] * 5 + [8] * 40, [*range(9)] * 20, []):
         of = np.sort(np.array(rows, np.uint8))
         found = list(masked_lm._by_class(of, masked_lm._runs(ends)))
