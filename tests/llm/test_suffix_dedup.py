@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import suffix_dedup
 
@@ -80,6 +81,33 @@ def test_a_range_a_run(spark):
     check(spark, rows)
 
 
+def test_frequent_anchor_is_dealt_out(spark, monkeypatch):
+    """Runs around a line that most texts hold do not meet in one task where the shared ones are found."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = make(390)
+    rows = [(i, make(60) + line + make(60)) for i in range(1200)] + [(1200 + i, make(700)) for i in range(300)]
+    tasks = {}
+
+    def written(df, name, f=suffix_dedup.written):
+        out = f(df, name)
+        if name == "shared":
+            tasks[name] = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", written)
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "12", "files.maxPartitionBytes": "64k", "files.openCostInBytes": "16k", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        check(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert max(tasks["shared"]) < 0.5 * sum(tasks["shared"])
+
+
 def test_empty_table(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], DOCS)).count() == 0
 
