@@ -108,6 +108,28 @@ def test_frequent_anchor_is_dealt_out(spark, monkeypatch):
     assert max(tasks["shared"]) < 0.5 * sum(tasks["shared"])
 
 
+def test_common_run_is_dealt_out(spark, monkeypatch):
+    """The places of a run that most texts hold do not meet in one task to get its range."""
+    monkeypatch.setattr(suffix_dedup, "COMMON", 100, raising=False)
+    rng = random.Random(13)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = make(2500)
+    rows = [(i, make(60) + passage + make(60)) for i in range(300)] + [(300 + i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame([(i, t, "k", 3) for i, t in rows], DOCS)
+    runs = suffix_dedup.found_runs(df).distinct()
+    most = runs.groupBy("anchor", "run").count().where("count = 300").first()
+    one = runs.where((F.col("anchor") == most["anchor"]) & (F.col("run") == most["run"])).repartition(8).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = suffix_dedup._spans(suffix_dedup._keyed(df).select("key", "text").distinct(), one)
+        tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        check(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(tasks) == 300 and max(tasks) < 0.5 * sum(tasks)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], DOCS)).count() == 0
 
